@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, secrets, warc
+from . import langid, mixing, quality, secrets, warc
 from .common import table
 
 
@@ -14,6 +15,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.train(docs)
+    return langid.identify(docs, network, keep=["doc_id"]).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -24,8 +35,39 @@ def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op9_host_quality, op10_content_archive)}
+    return {f.__name__: f for f in (op1_secret_scan, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
+
+
+#: Sizes of documents and the mix: the same order, running sums over all rows.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents),
+by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
+         CAST(3 * source_size AS DOUBLE) AS cap
+  FROM by_source),
+levels AS (
+  SELECT *, cap / weight AS full_at,
+         (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, coalesce(least(cap, weight * (SELECT arg_min(level, full_at) FROM levels WHERE level <= full_at)), cap) AS target FROM levels),
+queued AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER () AS row_id
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+rounds AS (
+  SELECT row_id, size, source, upto, CAST(r * source_size + upto AS DOUBLE) / target AS finish
+  FROM queued, (SELECT unnest([0, 1, 2]) AS r) WHERE size > 0),
+cut AS (SELECT row_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, upto ROWS UNBOUNDED PRECEDING) AS upto_all FROM rounds),
+times AS (SELECT row_id, count(*) AS times FROM cut WHERE upto_all <= (SELECT sum(size) FROM sized) GROUP BY row_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(times, 0) * size AS BIGINT) AS taken, CAST(coalesce(times, 0) AS INTEGER) AS times, source
+FROM queued LEFT JOIN times USING (row_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_fair_mix": MIX_SQL}
