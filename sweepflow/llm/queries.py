@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, secrets, warc
+from . import bpe, langid, mixing, quality, secrets, urls, warc
 from .common import table
 
 
@@ -15,6 +15,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+
+
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, bpe.prepare(docs), keep=["doc_id"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     network = langid.train(docs)
@@ -35,7 +44,7 @@ def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
+    return {f.__name__: f for f in (op1_secret_scan, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.
