@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, quality, secrets, urls, warc
+from . import bpe, fingerprint, langid, minhash, mixing, quality, secrets, urls, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components_of(table(spark, sf_dir, "documents"))
+
+
 def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_multiset_fingerprint, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from ..jobs.storage import checkpoint_dir
 
 #: Fixed values.
 REVISIT_LEAST = 1000
@@ -156,4 +156,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_archive_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
