@@ -24,17 +24,18 @@ import mmap
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, written
 
 #: Fixed value: how the tokenizer cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,24 +80,8 @@ class Merges:
         return Merges([vocab[c] for c in letters], pairs, token_bytes, special)
 
     def encode(self, word: bytes) -> list[int]:
-        """Exact merging of one word."""
-        ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
-            return self.encode_long(ids)
-        get, none = self.pairs.get, (1 << 30, 0)
-        found = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best is none or best[0] == 1 << 30:
-                break
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
-            if i:
-                found[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
-            if i < len(found):
-                found[i] = get(ids[i] << 32 | ids[i + 1], none)
-        return ids
+        """Exact merging of one word of any length."""
+        return self.encode_long([self.byte_ids[b] for b in word])
 
     def encode_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links between neighbours, for words of any length."""
@@ -118,6 +103,80 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
+class Merger:
+    """Exact merging of many words at once, in numpy: one merge in every word in each step."""
+
+    NONE = np.int32(1 << 30)
+    WIDTHS = (8, 12, 16, 24, 32)
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        order = sorted(merges.pairs.items())
+        self.keys = np.array([k for k, _ in order] or [0], np.int64)
+        self.ranks = np.array([r for _, (r, _) in order] or [self.NONE], np.int32)
+        self.products = np.zeros(max(len(order), 1), np.int32)
+        for _, (rank, product) in order:
+            self.products[rank] = product
+        self.byte_ids = np.array(merges.byte_ids, np.int64)
+        a, b = np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij")
+        self.byte_pairs = self.rank(a.ravel(), b.ravel()).reshape(256, 256)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; an id below 0 is no id."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], self.NONE)
+
+    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in self.WIDTHS:
+            mine = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for s in range(0, len(mine), 8192):
+                at = mine[s : s + 8192]
+                for i, ids in zip(at.tolist(), self.merge_block([words[i] for i in at], sizes[at], width)):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > low).tolist():
+            out[i] = tuple(self.merges.encode(words[i]))
+        return out
+
+    def merge_block(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.where(inside, self.byte_ids[data], -1)
+        ranks = np.where(inside[:, 1:], self.byte_pairs[data[:, :-1], data[:, 1:]], self.NONE)
+        ranks = np.concatenate([ranks, np.full((len(words), 1), self.NONE)], 1)
+        left, place = np.arange(len(words)), np.arange(width)
+        while len(left):
+            r, x = ranks[left], ids[left]
+            best = r.argmin(1)
+            rows = np.arange(len(left))
+            lowest = r[rows, best]
+            go = lowest < self.NONE
+            if not go.all():
+                left, r, x, best, lowest = left[go], r[go], x[go], best[go], lowest[go]
+                rows = rows[: len(left)]
+                if not len(left):
+                    break
+            # What stands behind the pair moves up by one; the pair becomes its product.
+            source = np.minimum(place + (place > best[:, None]), width - 1)
+            x = np.take_along_axis(x, source, 1)
+            x[:, -1] = -1
+            x[rows, best] = self.products[lowest]
+            source = np.minimum(place + (place >= best[:, None]), width - 1)
+            r = np.take_along_axis(r, source, 1)
+            r[:, -1] = self.NONE
+            behind = np.minimum(best + 1, width - 1)
+            r[rows, best] = self.rank(x[rows, best], np.where(best + 1 < width, x[rows, behind], -1))
+            before = np.flatnonzero(best > 0)
+            r[before, best[before] - 1] = self.rank(x[before, best[before] - 1], x[before, best[before]])
+            ids[left], ranks[left] = x, r
+        counts = (ids >= 0).sum(1).tolist()
+        return [tuple(row[:n]) for row, n in zip(ids.tolist(), counts)]
+
+
 def minimal_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
     """Compiles sorted, distinct words. States with equal futures are one.
 
@@ -212,64 +271,117 @@ def compile_lexicon(merges: Merges, frequent: list[str], path: str) -> None:
     }, path)
 
 
+def merger_of(arrays: dict[str, memoryview]) -> Merger:
+    pairs = {k: (i, p) for i, (k, p) in enumerate(zip(arrays["pair"], arrays["product"]))}
+    return Merger(Merges(list(arrays["byte_ids"]), pairs, [], {}))
+
+
 class Lexicon:
     """The memory-mapped automaton and its ids."""
 
     def __init__(self, arrays: dict[str, memoryview]):
-        self.first, self.labels, self.targets, self.skips, self.final, self.start, self.ids = (arrays[k] for k in ("first", "labels", "targets", "skips", "final", "id_start", "ids"))
-        self.labels = bytes(self.labels)  # one byte for each edge; searched by bytes.find
-
-    def find(self, word: bytes) -> tuple[int, ...] | None:
-        """The ids of a word, or None."""
-        state = number = 0
-        first, find = self.first, self.labels.find
-        for b in word:
-            edge = find(b, first[state], first[state + 1])
-            if edge < 0:
-                return None
-            number += self.skips[edge]
-            state = self.targets[edge]
-        return tuple(self.ids[self.start[number] : self.start[number + 1]]) if self.final[state] else None
-
-
-class Encoder(dict):
-    """Words met so far to their ids; a word that is missing comes from the lexicon or else from exact merging. Forgets all at `most` words."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+        view = lambda name: np.asarray(arrays[name])
+        self.first, self.labels, self.targets, self.skips, self.final, self.start, self.ids = map(view, ("first", "labels", "targets", "skips", "final", "id_start", "ids"))
+        #: Edges by state and byte, which is their order in the file.
+        state = np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first.astype(np.int64)))
+        self.keys = np.append(state << 8 | self.labels, np.int64(1) << 62)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """The ids of each word, or None. All words take a step at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        offsets = np.cumsum(sizes) - sizes
+        state, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        found, active, j = np.zeros(len(words), bool), np.arange(len(words)), 0
+        while len(active):
+            done = sizes[active] == j
+            found[active[done]] = self.final[state[active[done]]] != 0
+            active = active[~done]
+            key = state[active] << 8 | data[offsets[active] + j]
+            edge = np.searchsorted(self.keys, key)
+            there = self.keys[edge] == key
+            active, edge = active[there], edge[there]
+            number[active] += self.skips[edge]
+            state[active] = self.targets[edge]
+            j += 1
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        for i in np.flatnonzero(found).tolist():
+            n = number[i]
+            out[i] = tuple(self.ids[self.start[n] : self.start[n + 1]].tolist())
+        return out
+
+
+class Encoder:
+    """Knows the words met so far with their ids; new ones come from the lexicon or else from exact merging.
+
+    Forgets all once it knows `most` words. Texts are taken in groups of about
+    `chars` characters, and a longer one in groups of words, so that what is
+    held at a time has a bound.
+    """
+
+    def __init__(self, path: str, most: int = 300_000, chars: int = 250_000, group: int = 50_000):
         arrays = map_arrays(path)
-        self.lexicon, self.most = Lexicon(arrays), most
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.lexicon, self.most, self.chars, self.group = Lexicon(arrays), most, chars, group
         blob, at = bytes(arrays["token_bytes"]), list(arrays["token_start"])
         self.token_bytes = [blob[a:b] for a, b in zip(at, at[1:])]
         self.digits = list(map(str, range(len(self.token_bytes))))
-        special = json.loads(bytes(arrays["special"]))
-        self.merges = Merges(list(arrays["byte_ids"]), {k: (i, p) for i, (k, p) in enumerate(zip(arrays["pair"], arrays["product"]))}, self.token_bytes, special)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = json.loads(bytes(arrays["special"]))
+        self.merger = merger_of(arrays)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8", "surrogatepass")
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.most:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        data = [w.encode("utf-8", "surrogatepass") for w in new]
         ids = self.lexicon.find(data)
-        if ids is None:
-            ids = tuple(self.merges.encode(data))
-        if len(self) >= self.most:
-            self.clear()
-        if len(data) < 64:
-            self[word] = ids
-        return ids
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.merger.merge([data[i] for i in rest])):
+            ids[i] = x
+        self.known.update(zip(new, ids))
+        self.known.update((w, (i,)) for w, i in self.special.items())
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at its special tokens."""
+        return [p for p in self.cut.split(text) if p] if self.cut and self.cut.search(text) else [text]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        get = self.__getitem__
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        waiting, held = [], 0
+        for text in texts:
+            if text and len(text) > self.chars:
+                yield from self.encode_group(waiting)
+                yield self.encode_long(text)
+                waiting, held = [], 0
+                continue
+            waiting.append(text or "")
+            held += len(waiting[-1])
+            if held >= self.chars:
+                yield from self.encode_group(waiting)
+                waiting, held = [], 0
+        yield from self.encode_group(waiting)
+
+    def encode_group(self, texts: list[str]) -> Iterator[list[int]]:
+        cut = [[[p] if p in self.special else self.words.findall(p) for p in self.parts(t)] if t else [] for t in texts]
+        self.learn(set().union(*(words for parts in cut for words in parts)) - self.special.keys())
+        return (self.ids_of(chain.from_iterable(parts)) for parts in cut)
+
+    def encode_long(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
-            if part in self.merges.special:
-                out.append(self.merges.special[part])
-            elif part:
-                out += chain.from_iterable(map(get, self.words.findall(part)))
+        for part in self.parts(text):
+            found = iter([part]) if part in self.special else (m.group() for m in self.words.finditer(part))
+            while words := list(islice(found, self.group)):
+                self.learn(set(words) - self.special.keys())
+                out += self.ids_of(words)
         return out
 
+    def ids_of(self, words: Iterable[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -281,22 +393,39 @@ def encoder_of(name: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = 32768, text: str = "text") -> list[str]:
-    """The words (runs of letters) that occur most often in all texts: counted by Spark, and bounded by `most`."""
-    found = docs.select(F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect() if len(r["word"]) <= 60]
-
+    """The words (runs of letters) that occur most often in all texts, `most` of them or, for ties, less.
 
-def prepare(docs: DataFrame, tokenizer: str | None = None, most: int = 32768, text: str = "text") -> str:
-    """Counts, compiles and ships the lexicon; returns the name of the file on the executors."""
-    spark = docs.sparkSession
+    Counts are stored; a histogram of their logarithms, which has a few hundred
+    rows at any size, tells from which count on words are few enough to go to
+    the driver.
+    """
+    found = docs.select(F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 60")
+    counts = written(found.groupBy("word").count().where("count > 1"), "word-counts")
+    step = F.floor(F.log2("count") * 16)
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return [] if least is None else sorted(r["word"] for r in counts.where(step >= least).select("word").collect())
+
+
+def ship(spark: SparkSession, frequent: list[str], tokenizer: str | None = None) -> str:
+    """Compiles the lexicon and has Spark bring it to the executors; returns the name of the file there."""
     folder = tempfile.mkdtemp(prefix="lexicon-")
     path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
-    compile_lexicon(Merges.read(tokenizer or default_tokenizer()), frequent_words(docs, most, text), path)
+    compile_lexicon(Merges.read(tokenizer or default_tokenizer()), frequent, path)
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
 
+def prepare(docs: DataFrame, tokenizer: str | None = None, most: int = 32768, text: str = "text") -> str:
+    """Counts the words of all texts and ships their lexicon; returns the name that encode() and decode() take."""
+    return ship(docs.sparkSession, frequent_words(docs, most, text), tokenizer)
+
+
 def encode(docs: DataFrame, name: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256, and ids (array<int>) if asked for. `name` is what prepare() returned."""
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
@@ -308,13 +437,12 @@ def encode(docs: DataFrame, name: str, text: str = "text", keep: list[str] | Non
 
         def work(texts):
             out = {n: [] for n, _ in fields}
-            for t in texts:
-                ids = encoder.encode(t)
+            for ids in encoder.encode_all(texts):
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(digest(",".join(map(digits, ids))))
                 out["decoded_sha256"].append(digest(encoder.decode(ids)))
                 if with_ids:
-                    out["ids"].append(ids)
+                    out["ids"].append(np.array(ids, np.int32))
             return out
 
         return work

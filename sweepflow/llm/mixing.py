@@ -127,3 +127,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     times = F.when(F.col("size") > 0, sum((inside(r) for r in range(1, most)), inside(0))).otherwise(0)
     return queued.select(*out, times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
+
+
+def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns.
+
+    Rows are told apart by id and text: of rows that agree in both, one stands
+    for all and comes as often as they do together.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.xxhash64(F.col(f"`{text}`")).cast("string"))
+    keyed = docs.withColumn("__key", key)
+    mixed = mix(keyed, doc_id="__key", text=text, source=source, **options)
+    times = mixed.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").cast("int").alias("__times")).where("__times > 0")
+    rows = keyed.join(times, "__key").dropDuplicates(["__key"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

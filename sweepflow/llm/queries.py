@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, minhash, mixing, quality, secrets, urls, warc
+from . import bpe, fingerprint, langid, lm, minhash, mixing, quality, secrets, urls, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
 
@@ -52,7 +56,7 @@ def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.
