@@ -112,11 +112,17 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     ids = neighbours(sized.groupBy("id").agg(F.max("chars").alias("chars"), F.min("text_hash").alias("chosen")))
     ids = written(ids, "neighbours")
 
-    placed = rows.join(ids.withColumnRenamed("id", "key"), F.col("id").eqNullSafe(F.col("key"))).drop("key")
-    chosen = F.xxhash64("text") == F.col("chosen")
+    # Joins and aggregates are on the same two columns, so what one has dealt out serves the next.
+    key = ["k", "no_k"]
+    keyed = lambda df, c: df.withColumns({"k": F.coalesce(c, F.lit(0).cast("long")), "no_k": F.col(c).isNull()})
+    placed = keyed(rows, "id").join(keyed(ids, "id").drop("id"), key)
+    # `chosen` is the smallest hash of the id's texts. As an inequality the test stays a filter; as an equality it would
+    # become another join key, and the texts would be shuffled twice.
+    chosen = F.xxhash64("text") <= F.col("chosen")
     # Of a next document only what its neighbour may need goes on.
-    heads = placed.where(chosen).select(F.col("prev_id").alias("key"), F.expr("substring(text, 1, cast(prev_chars div 3 as int))").alias("head")).dropDuplicates(["key"])
-    edited = placed.join(heads, F.col("id").eqNullSafe(F.col("key"))).select("id", "next_id", chosen.alias("is_chosen"), "text", "head")
+    heads = keyed(placed.where(chosen).select("prev_id", F.expr("substring(text, 1, cast(prev_chars div 3 as int))").alias("head")), "prev_id")
+    heads = heads.select(*key, "head").dropDuplicates(key)
+    edited = placed.join(heads, key).select("id", "next_id", chosen.alias("is_chosen"), "text", "head")
     edited = edited.withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(n_chars div 3 as int)"
     edited = edited.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {third}), substring(head, 1, {third}))")).drop("head")
@@ -124,8 +130,8 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = with_fingerprint(with_fingerprint(edited, "text", "own").drop("text"), "edited", "new").drop("edited")
     found = written(found, "fingerprints")
 
-    other = found.where("is_chosen").select(F.col("id").alias("key"), F.col("own_n").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(["key"])
-    joined = found.join(other, F.col("next_id").eqNullSafe(F.col("key")))
+    other = keyed(found.where("is_chosen"), "id").select(*key, F.col("own_n").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(key)
+    joined = keyed(found, "next_id").join(other, key)
     own = F.col("own_n"), F.col("own_sums")
     new = F.col("new_n"), F.col("new_sums")
     return joined.select(
