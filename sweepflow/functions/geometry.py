@@ -59,8 +59,9 @@ def greatest(a: Column, b: Column) -> Column:
 
 def line_distance(p: Column, start: Column, end: Column) -> Column:
     """Distance of a point from the line through two points."""
-    d, q = normed(sub(end, start)), sub(p, start)
-    return length(sub(q, scale(d, dot(q, d))))
+    d, q = sub(end, start), sub(p, start)
+    along = dot(q, d)
+    return F.sqrt(F.greatest(F.lit(0.0), length_squared(q) - F.try_divide(along * along, length_squared(d))))
 
 
 def azimuth_plane(a: Column) -> Column:

@@ -37,7 +37,7 @@ def cluster_statistics(labelled: DataFrame, p: Clustering, num_columns: int) ->
         F.max("stamp_ns").alias("max_stamp"),
         F.max(F.col("col") * F.lit(TWO_PI / num_columns) + reach).alias("finish_azimuth"),
     )
-    stamp = F.col("max_stamp") if p.last_point_stamps else F.col("min_stamp") + F.floor((F.col("max_stamp") - F.col("min_stamp")) / 2)
+    stamp = F.col("max_stamp") if p.last_point_stamps else F.col("min_stamp") + F.shiftright(F.col("max_stamp") - F.col("min_stamp"), 1)
     return found.withColumns({"stamp_ns": stamp, "forced": F.col("max_column") - F.col("min_column") + 1 >= num_columns}).drop("min_stamp", "max_stamp")
 
 

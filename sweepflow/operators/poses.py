@@ -57,7 +57,7 @@ def rotation_matrix(q: Column) -> Column:
 def frame_bounds(frames: DataFrame, keys: list[str], order: str, stamp: str, edge_ns: int = 50_000_000) -> DataFrame:
     """start_ns and end_ns of each frame: the middles between neighbours' stamps, and a fixed time beyond the first and last. One row for each frame."""
     w = W.partitionBy(*keys).orderBy(order)
-    middle = lambda other: F.floor((F.col(stamp) + other) / 2)
+    middle = lambda other: F.shiftright(F.col(stamp) + other, 1)
     return frames.withColumns({
         "start_ns": F.coalesce(middle(F.lag(stamp).over(w)), F.col(stamp) - edge_ns),
         "end_ns": F.coalesce(middle(F.lead(stamp).over(w)), F.col(stamp) + edge_ns),

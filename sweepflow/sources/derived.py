@@ -29,7 +29,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("event_id") / ROWS).alias("col"),
         (5 + F.floor(F.col("value") / 25)).cast("double").alias("dist"),
         F.least(F.floor("value"), F.lit(255)).cast("int").alias("intensity"),
-        (F.unix_micros("ts") * 1000).alias("stamp_ns"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("stamp_ns"),
         "event_type",
     )
     angled = base.withColumns({"az": F.lit(2 * math.pi) * F.col("col") / COLUMNS, "inc": (7.5 - F.col("row_index")) * 0.02})
