@@ -115,14 +115,15 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     # Joins and aggregates are on the same two columns, so what one has dealt out serves the next.
     key = ["k", "no_k"]
     keyed = lambda df, c: df.withColumns({"k": F.coalesce(c, F.lit(0).cast("long")), "no_k": F.col(c).isNull()})
-    placed = keyed(rows, "id").join(keyed(ids, "id").drop("id"), key)
+    # Both uses of the texts' shuffle read the same columns of it, or else it would be made twice: the id comes back from its key.
+    placed = keyed(rows, "id").drop("id").join(keyed(ids, "id").drop("id"), key)
     # `chosen` is the smallest hash of the id's texts. As an inequality the test stays a filter; as an equality it would
     # become another join key, and the texts would be shuffled twice.
     chosen = F.xxhash64("text") <= F.col("chosen")
     # Of a next document only what its neighbour may need goes on.
     heads = keyed(placed.where(chosen).select("prev_id", F.expr("substring(text, 1, cast(prev_chars div 3 as int))").alias("head")), "prev_id")
     heads = heads.select(*key, "head").dropDuplicates(key)
-    edited = placed.join(heads, key).select("id", "next_id", chosen.alias("is_chosen"), "text", "head")
+    edited = placed.join(heads, key).select(F.when(~F.col("no_k"), F.col("k")).alias("id"), "next_id", chosen.alias("is_chosen"), "text", "head")
     edited = edited.withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(n_chars div 3 as int)"
     edited = edited.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {third}), substring(head, 1, {third}))")).drop("head")
