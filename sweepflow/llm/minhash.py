@@ -289,7 +289,8 @@ def components_of(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id",
     rows = signed.select("doc_id", "n_shingles", "cls")
     named = rows.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = written(named, "named")
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    # Stored, so that the join deals out both sides itself and may split a component with very many documents.
+    smallest = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
     joined = named.join(smallest, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -47,7 +47,7 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,63 @@ FROM queued LEFT JOIN times USING (row_id)
 """
 
 
+WORDS_SQL = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: Shingles by an inverted index, links on full sets, and components by reaching.
+NEAR_SQL = (
+    r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, """
+    + WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + r""" AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM cut),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+elements AS (SELECT doc_id, unnest(s) AS e FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common c JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+sym AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
+reach(node, root) AS (SELECT u, u FROM sym UNION SELECT v, root FROM reach JOIN sym ON node = u),
+labels_ AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept FROM sized LEFT JOIN labels_ ON doc_id = node
+"""
+)
+
+QUALITY_SQL = (
+    r"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, """
+    + WORDS_SQL.format(text="text")
+    + r""" AS w FROM docs),
+placed AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM cut),
+windows AS (SELECT doc_id, i, w AS a, lead(w) OVER p AS b, lead(w, 2) OVER p AS c FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+found AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS twice FROM windows),
+covered AS (SELECT doc_id, twice OR coalesce(lag(twice) OVER p, false) OR coalesce(lag(twice, 2) OVER p, false) AS repeats FROM found WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+repeats AS (SELECT doc_id, count(*) FILTER (repeats) AS n FROM covered GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS lines FROM docs) JOIN cut USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         word_chars < 2.5 * n_words OR word_chars > 12.0 * n_words OR n_symbols > 0.3 * n_words OR 100 * n_dup_lines > 30.0 * n_lines OR 100 * n_repeat_words > 30.0 * n_words AS soft FROM counted),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS f FROM judged GROUP BY source),
+prior AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
+weight AS (SELECT m, greatest(1.0, least(1e6, coalesce(m * (1 - m) / nullif(greatest(v, 0.0), 0) - 1, 1e6))) AS k FROM prior),
+rates AS (SELECT source, (f + m * k) / (n + k) AS host_rate FROM hosts, weight)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 6) AS host_rate, NOT base_failed AND NOT (soft AND host_rate > 0.5) AS kept
+FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
+"""
+)
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+o AS (SELECT *, octet_length(encode(payload)) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS owner FROM p),
+k AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner AS again FROM o)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to, true AS verified FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_fair_mix": MIX_SQL}
+    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL}
