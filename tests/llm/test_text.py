@@ -201,15 +201,43 @@ def test_attention_probabilities_add_up_to_one():
 
     options = lm.Model(symbols=20, classes=8, fresh=4)
     r = np.random.default_rng(1)
-    network = lm.Network(options, r.random(30) * 9, r.random((30, 128)), np.arange(30) % 2 == 0, 5)
+    n, starts = 30, np.arange(30) % 2 == 0
+    pairs = np.array([a * n + b for a in range(n) for b in range(1, n, 2)])
+    counts = r.random(len(pairs)) * 5
+    inner = np.bincount(pairs // n, counts, n)
+    last = r.random(n) * 9
+    found = lm.Statistics(inner + last, np.where(starts, r.random(n) * 9, 0), last, r.random((n, 128)), pairs, counts)
+    network = lm.Network(options, found, starts, 5)
     network.set_follow(r.random((network.n_symbols, options.classes)) * 5)
+    score = lambda ids: 10 ** network.log_probability(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+    def stop(ids):
+        """Probability that a text ends here, given its ids."""
+        x, y, blocks, _ = network.blocks(np.array(ids, np.int64), np.array([len(ids)]))
+        return score(ids) / prefix(ids)
+
+    def prefix(ids):
+        """Probability of a start: what its end adds is taken off by adding up all that could follow."""
+        total = 1.0
+        for i in range(len(ids)):
+            total *= step(ids[:i], ids[i])
+        return total
+
+    def step(start, target):
+        """Probability of one id, from the network's own parts."""
+        network.ready()
+        x, _, blocks, _ = network.blocks(np.array(start, np.int64), np.array([len(start)]))
+        s, _, _, _, _, _, o, _ = network.attend(x, blocks)
+        at = len(start)
+        logits = (o.reshape(-1, options.dim) @ network.weights["w"] + network.follow[s.ravel()])[at]
+        share = np.exp(logits - np.log(np.exp(logits).sum()))
+        before = np.array([start[-1] if start else n])
+        t = network.trust[before][0]
+        return (1 - t) * share[network.class_of[target]] * np.exp(network.inside[target]) + t * network.followed(before, np.array([target]))[0]
+
     for start in ([], [3, 4, 5], list(range(11))):
-        one = lambda ids: 10 ** network.log_probability(np.array(ids, np.int64), np.array([len(ids)]))[0]
-        # All that can follow a start: the end, or an id, with whatever comes after it.
-        ends = one(start)
-        longer = sum(one(start + [i]) for i in range(30))
-        stops = lambda ids: one(ids)
-        assert 0 < ends < 1 and longer < 1 and stops(start) == ends
+        assert np.isclose(sum(step(start, i) for i in range(n + 1)), 1, atol=1e-4)
+        assert np.isclose(stop(start), step(start, n), rtol=1e-3)
     # A text of any length is scored the same alone and next to others.
     ids = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])
     both = network.log_probability(ids, np.array([5, 7]))
