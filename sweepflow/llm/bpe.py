@@ -108,24 +108,52 @@ class Merger:
 
     NONE = np.int32(1 << 30)
     WIDTHS = (8, 12, 16, 24, 32)
+    SLOTS = 1 << 18
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        order = sorted(merges.pairs.items())
-        self.keys = np.array([k for k, _ in order] or [0], np.int64)
-        self.ranks = np.array([r for _, (r, _) in order] or [self.NONE], np.int32)
-        self.products = np.zeros(max(len(order), 1), np.int32)
-        for _, (rank, product) in order:
-            self.products[rank] = product
+        keys = np.array(list(merges.pairs), np.int64)
+        ranks = np.array([r for r, _ in merges.pairs.values()], np.int32)
+        self.products = np.zeros(max(len(keys), 1), np.int64)
+        self.products[ranks] = [p for _, p in merges.pairs.values()]
+        # A table of pairs: a pair is in the first free slot from its own on.
+        bits = max(self.SLOTS, 1 << (4 * len(keys)).bit_length())
+        self.bits = np.int64(bits - 1)
+        self.keys, self.ranks = np.full(bits, -1, np.int64), np.full(bits, self.NONE, np.int32)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            taken, first = np.unique(at[free], return_index=True)
+            chosen = left[free][first]
+            self.keys[taken], self.ranks[taken] = keys[chosen], ranks[chosen]
+            rest = ~np.isin(left, chosen)
+            left, at = left[rest], at[rest]
+            at = np.where(self.keys[at] >= 0, (at + 1) & self.bits, at)
         self.byte_ids = np.array(merges.byte_ids, np.int64)
         a, b = np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij")
         self.byte_pairs = self.rank(a.ravel(), b.ravel()).reshape(256, 256)
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(40)).view(np.int64) & self.bits
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; an id below 0 is no id."""
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], self.NONE)
+        at = self.slot(key)
+        there = self.keys[at]
+        out = self.ranks[at]
+        wrong = there != key
+        out[wrong] = self.NONE
+        left = np.flatnonzero(wrong & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.bits
+            there = self.keys[at[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        out[b < 0] = self.NONE
+        return out
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         out: list[tuple[int, ...]] = [()] * len(words)
@@ -148,33 +176,35 @@ class Merger:
         ids = np.where(inside, self.byte_ids[data], -1)
         ranks = np.where(inside[:, 1:], self.byte_pairs[data[:, :-1], data[:, 1:]], self.NONE)
         ranks = np.concatenate([ranks, np.full((len(words), 1), self.NONE)], 1)
-        left, place = np.arange(len(words)), np.arange(width)
+        out: list[tuple[int, ...]] = [()] * len(words)
+        left = np.arange(len(words))
         while len(left):
-            r, x = ranks[left], ids[left]
-            best = r.argmin(1)
+            best = ranks.argmin(1)
             rows = np.arange(len(left))
-            lowest = r[rows, best]
-            go = lowest < self.NONE
-            if not go.all():
-                left, r, x, best, lowest = left[go], r[go], x[go], best[go], lowest[go]
-                rows = rows[: len(left)]
+            lowest = ranks[rows, best]
+            done = lowest == self.NONE
+            if done.any():
+                counts = (ids[done] >= 0).sum(1).tolist()
+                for i, row, n in zip(left[done].tolist(), ids[done].tolist(), counts):
+                    out[i] = tuple(row[:n])
+                go = ~done
+                left, ids, ranks, best, lowest = left[go], ids[go], ranks[go], best[go], lowest[go]
                 if not len(left):
                     break
-            # What stands behind the pair moves up by one; the pair becomes its product.
-            source = np.minimum(place + (place > best[:, None]), width - 1)
-            x = np.take_along_axis(x, source, 1)
-            x[:, -1] = -1
-            x[rows, best] = self.products[lowest]
-            source = np.minimum(place + (place >= best[:, None]), width - 1)
-            r = np.take_along_axis(r, source, 1)
-            r[:, -1] = self.NONE
-            behind = np.minimum(best + 1, width - 1)
-            r[rows, best] = self.rank(x[rows, best], np.where(best + 1 < width, x[rows, behind], -1))
+                rows = rows[: len(left)]
+            # The pair becomes its product: every row loses one place.
+            ids[rows, best] = self.products[lowest]
+            stays = np.ones(ids.shape, bool)
+            stays[rows, best + 1] = False
+            ids = ids[stays].reshape(len(left), -1)
+            stays = np.ones(ranks.shape, bool)
+            stays[rows, best] = False
+            ranks = ranks[stays].reshape(len(left), -1)
+            new, behind = ids[rows, best], ids[rows, np.minimum(best + 1, ids.shape[1] - 1)]
+            ranks[rows, best] = self.rank(new, np.where(best + 1 < ids.shape[1], behind, -1))
             before = np.flatnonzero(best > 0)
-            r[before, best[before] - 1] = self.rank(x[before, best[before] - 1], x[before, best[before]])
-            ids[left], ranks[left] = x, r
-        counts = (ids >= 0).sum(1).tolist()
-        return [tuple(row[:n]) for row, n in zip(ids.tolist(), counts)]
+            ranks[before, best[before] - 1] = self.rank(ids[before, best[before] - 1], new[before])
+        return out
 
 
 def minimal_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -386,7 +416,7 @@ class Encoder:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder_of(name: str) -> Encoder:
     """The encoder of this worker process; later tasks go on with the words it knows."""
     return Encoder(SparkFiles.get(name))
