@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import geometry as g
-from ..operators import clusters, evaluate, ground, neighbors, poses, range_image, scans, sinks
+from ..operators import clusters, evaluate, ground, motion, neighbors, poses, range_image, scans, sinks
 from ..sources.derived import COLUMNS, ROWS, events, points
 
 #: Parameters of the derived stream's queries.
@@ -222,6 +222,33 @@ SELECT stream_id, frame, stamp_ns,
 FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY frame)
 """
 
+
+def column_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.column_firings(frame_bounds(spark, sf_dir), COLUMNS).select("stream_id", "frame", "column", "firing_ns")
+
+
+COLUMN_FIRINGS = FRAME_BOUNDS.replace("\nSELECT stream_id, frame, stamp_ns,", ", bounds AS (SELECT stream_id, frame, stamp_ns,") + """)
+SELECT stream_id, frame, CAST(c AS INTEGER) AS column, start_ns + (end_ns - start_ns) * c // 127 AS firing_ns FROM bounds, range(128) r(c)
+"""
+
+BINS = 97
+
+
+def motion_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sensor that turns and drives at a steady rate within each frame."""
+    p = points(spark, sf_dir).select("pid", F.floor(F.col("col") / COLUMNS).alias("frame"), "x", "y", "z")
+    at = lambda b: F.array(F.cos(b * 0.001), -F.sin(b * 0.001), F.lit(0.0), b * 0.1, F.sin(b * 0.001), F.cos(b * 0.001), F.lit(0.0), b * 0.05, F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    bins = p.select("frame").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1)).cast("array<bigint>")))
+    found = motion.undo_motion(p, bins.select("frame", "bin", at(F.col("bin")).alias("m"), at(F.lit(48)).alias("middle")), ["frame"], BINS)
+    return found.select("pid", "bin", *rounded("x", "y", "z"))
+
+
+MOTION_UNDONE = POINTS + """,
+b AS (SELECT pid, x, y, z, CAST(least(floor((pi() - atan2(y, x)) / (2 * pi()) * 97), 96) AS BIGINT) AS bin FROM points),
+m AS (SELECT *, cos(0.048) * x - sin(0.048) * y + 4.8 - bin * 0.1 AS u, sin(0.048) * x + cos(0.048) * y + 2.4 - bin * 0.05 AS v FROM b)
+SELECT pid, bin, round(cos(bin * 0.001) * u + sin(bin * 0.001) * v, 6) + 0.0 AS x, round(-sin(bin * 0.001) * u + cos(bin * 0.001) * v, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM m
+"""
+
 GROUND = replace(Config.kitti().ground, fog_enabled=True, fog_intensity_below=100, fog_distance_below=18.0, fog_inclination_above=-0.06, ego_box=((-6.0, 6.0), (-6.0, 6.0), (-2.0, 2.0)))
 
 
@@ -407,7 +434,7 @@ def cell_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_image.place_in_order(p, ["stream_id"], "row_index", "target_column", "pid", "dist", 512)
 
 
-FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement]
+FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

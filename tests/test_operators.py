@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sweepflow.config import Config, Ground
 from sweepflow.functions import geometry as g
 from sweepflow.functions import labels
-from sweepflow.operators import components, evaluate, ground, poses, range_image, scans
+from sweepflow.operators import components, evaluate, ground, motion, poses, range_image, scans
 
 NAN = float("nan")
 
@@ -141,3 +141,15 @@ def test_ignore_flags(spark):
 def test_default_layers_differ():
     assert Config.library_defaults().ground.first_ring_max_dz == 0.4 and Config.node_defaults().ground.first_ring_max_dz == 0.5
     assert Config.kitti().image.num_columns == 2200 and Config.kitti().clustering.max_distance == 0.5
+
+
+def test_poses_relative_to_the_first(spark):
+    df = spark.createDataFrame([(0, t, [float(v) for v in m]) for t, m in ((1, (1, 0, 0, 5, 0, 1, 0, 6, 0, 0, 1, 7)), (2, (0, -1, 0, 6, 1, 0, 0, 6, 0, 0, 1, 7)))], "s int, t int, m array<double>")
+    got = {r.t: r.m for r in motion.relative_to_first(df, ["s"], "t").collect()}
+    assert np.allclose(got[1], [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]) and np.allclose(got[2], [0, -1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0])
+
+
+def test_pose_of_a_gps_row(spark):
+    zero = F.lit(0.0)
+    m = spark.range(1).select(motion.mercator_pose(zero, F.lit(1.0), F.lit(3.0), zero, zero, F.lit(np.pi / 2), F.lit(1.0)).alias("m")).first().m
+    assert np.allclose(m[:3], [0, -1, 0], atol=1e-12) and np.isclose(m[3], motion.EARTH_RADIUS * np.pi / 180) and np.isclose(m[11], 3)

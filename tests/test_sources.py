@@ -7,7 +7,6 @@ import tempfile
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from sweepflow.jobs import ground_truth
 from sweepflow.sources import kitti
