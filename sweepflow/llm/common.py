@@ -15,7 +15,6 @@ from ..jobs.storage import checkpoint_dir
 
 #: Words are runs of anything but ASCII white space (fixed value).
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str) -> list[str]:
-    """The words of a text; bytes.split() cuts at exactly the six ASCII white-space characters."""
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-
-
 def word_array(text: Column) -> Column:
-    """The same words as an array column; null gives an empty array."""
+    """The words of a text as an array column; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
     spark = df.sparkSession
