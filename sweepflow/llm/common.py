@@ -35,6 +35,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows that go to Python at a time. Texts and sets are large, and a batch is held by the JVM and by Python, for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def others(df: DataFrame, taken: list[str], keep: list[str] | None) -> list[str]:
     """Names of the columns that a result carries along: keep (all, where it is None) without those that clash with a result's own."""
     low = {x.lower() for x in taken}
@@ -49,6 +56,7 @@ def annotate(df: DataFrame, start: Callable[[], Callable[[list], dict[str, list]
     Columns in `keep` are carried along (all, if it is None); one whose name
     clashes with a result's, in any case of letters, gives way to the result.
     """
+    small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     carried = others(df, names, keep)
     source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))

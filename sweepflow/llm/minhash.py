@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import annotate, written
+from .common import annotate, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def scatter(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of words, kept up to a bound, and sets of shingles as sorted arrays of 64-bit numbers."""
 
-    def __init__(self, size: int, most: int = 500_000):
+    def __init__(self, size: int, most: int = 200_000):
         self.size, self.most, self.known = size, most, {}
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
@@ -221,6 +221,7 @@ def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     weight = percent * p + 100 * a, and a member is linked to the hub if its
     weight is at most (100 - percent) * h.
     """
+    small_batches(pairs.sparkSession)
     own = pairs.groupBy("cls").agg(F.collect_list("hub").alias("hubs")).join(sets, "cls")  # a class has no more hubs than bands
     moved = own.select("cls", "shingles", F.explode("hubs").alias("hub"))
     both = moved.join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub").select("cls", "hub", "shingles", "hub_shingles")
