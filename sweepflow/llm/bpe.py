@@ -103,55 +103,62 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
-class Merger:
-    """Exact merging of many words at once, in numpy: one merge in every word in each step."""
-
-    NONE = np.int32(1 << 30)
-    WIDTHS = (8, 12, 16, 24, 32)
-    SLOTS = 1 << 18
+class PairTable:
+    """Values of pairs of ids, found for many pairs at once. A pair is in the first free slot from its own on."""
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        keys = np.array(list(merges.pairs), np.int64)
-        ranks = np.array([r for r, _ in merges.pairs.values()], np.int32)
-        self.products = np.zeros(max(len(keys), 1), np.int64)
-        self.products[ranks] = [p for _, p in merges.pairs.values()]
-        # A table of pairs: a pair is in the first free slot from its own on.
-        bits = max(self.SLOTS, 1 << (4 * len(keys)).bit_length())
-        self.bits = np.int64(bits - 1)
-        self.keys, self.ranks = np.full(bits, -1, np.int64), np.full(bits, self.NONE, np.int32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing, slots: int = 1 << 18):
+        slots = max(slots, 1 << (2 * len(keys)).bit_length())
+        self.last, self.missing = np.int64(slots - 1), missing
+        self.keys, self.values = np.full(slots, -1, np.int64), np.full(slots, missing, values.dtype)
         left, at = np.arange(len(keys)), self.slot(keys)
         while len(left):
             free = self.keys[at] < 0
             taken, first = np.unique(at[free], return_index=True)
             chosen = left[free][first]
-            self.keys[taken], self.ranks[taken] = keys[chosen], ranks[chosen]
+            self.keys[taken], self.values[taken] = keys[chosen], values[chosen]
             rest = ~np.isin(left, chosen)
             left, at = left[rest], at[rest]
-            at = np.where(self.keys[at] >= 0, (at + 1) & self.bits, at)
-        self.byte_ids = np.array(merges.byte_ids, np.int64)
-        a, b = np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij")
-        self.byte_pairs = self.rank(a.ravel(), b.ravel()).reshape(256, 256)
+            at = np.where(self.keys[at] >= 0, (at + 1) & self.last, at)
 
     def slot(self, key: np.ndarray) -> np.ndarray:
         mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(40)).view(np.int64) & self.bits
+        return (mixed >> np.uint64(36)).view(np.int64) & self.last
 
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of ids; an id below 0 is no id."""
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = self.slot(key)
-        there = self.keys[at]
-        out = self.ranks[at]
+        there, out = self.keys[at], self.values[at]
         wrong = there != key
-        out[wrong] = self.NONE
+        out[wrong] = self.missing
         left = np.flatnonzero(wrong & (there >= 0))
         while len(left):
-            at[left] = (at[left] + 1) & self.bits
+            at[left] = (at[left] + 1) & self.last
             there = self.keys[at[left]]
             hit = there == key[left]
-            out[left[hit]] = self.ranks[at[left[hit]]]
+            out[left[hit]] = self.values[at[left[hit]]]
             left = left[~hit & (there >= 0)]
+        return out
+
+
+class Merger:
+    """Exact merging of many words at once, in numpy: one merge in every word in each step."""
+
+    NONE = np.int32(1 << 30)
+    WIDTHS = (8, 12, 16, 24, 32)
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        ranks = np.array([r for r, _ in merges.pairs.values()], np.int32)
+        self.products = np.zeros(max(len(ranks), 1), np.int64)
+        self.products[ranks] = [p for _, p in merges.pairs.values()]
+        self.pairs = PairTable(np.array(list(merges.pairs), np.int64), ranks, self.NONE)
+        self.byte_ids = np.array(merges.byte_ids, np.int64)
+        a, b = np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij")
+        self.byte_pairs = self.rank(a.ravel(), b.ravel()).reshape(256, 256)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; an id below 0 is no id."""
+        out = self.pairs.find(a, np.maximum(b, 0))
         out[b < 0] = self.NONE
         return out
 
