@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sweepflow.jobs import queries as jobs
@@ -13,10 +14,16 @@ from sweepflow.jobs import queries as jobs
 SF = "/root/testdata/sf0.001"
 
 
+def shown(value) -> str:
+    """A value as text, numbers of any type alike."""
+    if not isinstance(value, str) and pd.isna(value):
+        return "null"
+    return value if isinstance(value, str) else f"{round(float(value), 5) + 0.0:.5f}"
+
+
 def rows(frame):
-    shown = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else int(v) if hasattr(v, "__int__") and not isinstance(v, (str, bool)) else v
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(str(None if (x := shown(v)) is None else float(x) if not isinstance(x, (str, bool)) else x) for v in r) for r in frame.itertuples(index=False)))
+    return sorted(tuple(map(shown, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
