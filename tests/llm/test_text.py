@@ -244,6 +244,22 @@ def test_attention_probabilities_add_up_to_one():
     assert np.allclose(both, [network.log_probability(ids[:5], np.array([5]))[0], network.log_probability(ids[5:], np.array([7]))[0]], atol=1e-4)
 
 
+def ordered(spark, n=160):
+    """Texts that go round the same words in one order, and as many words of such a text shuffled."""
+    words = "zyxqavu blorviktu kwemptrano dschungor fjellmuq praxtwibo glyndwosk hrvozmeta quotzbelim njarvepsu".split()
+    rows = [(i, " ".join(words[(i + j) % len(words)] for j in range(120))) for i in range(n)]
+    mixed = rows[0][1].split()
+    random.Random(7).shuffle(mixed)
+    out = next(i for i in range(n, 10 * n) if zlib.crc32(str(i).encode()) % 7 == 2)
+    return spark.createDataFrame([*rows, (out, " ".join(mixed))], "doc_id long, text string"), out
+
+
+def test_attention_sees_the_order_of_words(spark):
+    docs, out = ordered(spark)
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs).collect()}
+    assert got[0] - got[out] > 1
+
+
 # 5
 
 
