@@ -260,6 +260,16 @@ def test_attention_sees_the_order_of_words(spark):
     assert got[0] - got[out] > 1
 
 
+def test_training_sees_all_documents_in_any_layout(spark, monkeypatch):
+    docs = documents(spark)
+    seen, put = [], lm.Network.set_follow
+    monkeypatch.setattr(lm.Network, "set_follow", lambda self, counts: (seen.append(counts.sum()), put(self, counts))[1])
+    scores = [{r.doc_id: r.score for r in lm.score(docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1000)).repartition(n)).collect()} for n in (1, 40)]
+    words = [(r.text or "").encode().lower().split() for r in docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1000)).where(~lm.held_out(F.col("doc_id"))).collect()]
+    assert seen[0] == seen[1] >= sum(len(w) + 1 for w in words)  # each word has an id or more
+    assert all(math.isclose(v, scores[1][k], rel_tol=1e-3) for k, v in scores[0].items())
+
+
 # 5
 
 
