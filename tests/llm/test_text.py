@@ -270,6 +270,11 @@ def test_training_sees_all_documents_in_any_layout(spark, monkeypatch):
     assert all(math.isclose(v, scores[1][k], rel_tol=1e-3) for k, v in scores[0].items())
 
 
+def test_score_does_not_depend_on_the_pairs_that_tasks_hold(spark):
+    all_held, few_held = ({r.doc_id: r.score for r in lm.score(documents(spark), lm.Model(pairs=n)).collect()} for n in (1 << 18, 100))
+    assert all(math.isclose(v, few_held[k], rel_tol=1e-4) for k, v in all_held.items())
+
+
 # 5
 
 
