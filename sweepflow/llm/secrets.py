@@ -2,7 +2,8 @@
 
 Base kinds are fixed patterns, matched leftmost and without overlap, each kind
 on its own. The novelty kind looks at long key-like strings that no base span
-touches and that stand shortly after a sensitive word. zstandard, primed with a
+touches and that stand shortly after a sensitive word, and at what follows a `=`
+in them, with the name before it as part of what may be sensitive. zstandard, primed with a
 dictionary of common identifiers and with the text that follows the candidate,
 compresses the text before it with and without the candidate: what the
 candidate adds, in bytes for each of its characters, is its novelty. A string
@@ -56,6 +57,7 @@ class Novelty:
     context: int = 512
     sensitive_before: int = 48
     bytes_per_char: float = 0.55
+    bytes_per_letter: float = 0.8  # for a value without a digit: identifiers add up to 0.7, random letters 0.84 or more
     identifiers: str = IDENTIFIERS
     sensitive: str = r"pass(?:word|wd|phrase|code)|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(?:orization)?|bearer|credential|signature|client[_ -]?id|connection[_ -]?string"
 
@@ -82,24 +84,51 @@ class Scanner:
         size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False).compress(x.encode("utf-8", "surrogatepass")))
         return (size(before + candidate) - size(before)) / len(candidate)
 
+    @staticmethod
+    def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+        while e > s and text[e - 1] in "._=-/+":
+            e -= 1
+        while s < e and text[s] in "._=-/+":
+            s += 1
+        return s, e
+
+    def values(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """What follows each `=` within a run, base64 padding at its end included."""
+        parts = [m.span() for m in re.finditer("[^=]+", text[start:end])]
+        out = []
+        for i, (s, e) in enumerate(parts):
+            if s:  # there is a name or at least a `=` before it
+                if i == len(parts) - 1 and end - start - e <= 2:
+                    e = end - start
+                out.append((start + s, start + e))
+        return out
+
+    def novel(self, text: str, s: int, e: int, name: int, taken: list[tuple[int, int]], k: int) -> bool:
+        """Whether a candidate is long enough, free of base spans, shortly after a sensitive word (the name glued to it included), and new."""
+        p = self.novelty
+        if e - s < p.least or not self.sensitive.search(text, max(0, min(name, s - p.sensitive_before)), s):
+            return False
+        while k < len(taken) and taken[k][0] < e:
+            if taken[k][1] > s:
+                return False
+            k += 1
+        least = p.bytes_per_char if any(c.isdigit() for c in text[s:e]) else p.bytes_per_letter
+        return self.added(text[max(0, s - p.context) : s], text[s:e], text[e : e + p.context]) >= least
+
     def novel_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        p, found = self.novelty, []
+        found = []
         taken, k = sorted((s, e) for s, e, _ in base), 0
         for m in self.long.finditer(text):
-            s, e = m.span()
-            while e > s and text[e - 1] in "._=-/+":
-                e -= 1
-            while s < e and text[s] in "._=-/+":
-                s += 1
-            piece = text[s:e]
-            if e - s < p.least or not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
-                continue
-            while k < len(taken) and taken[k][1] <= s:
+            start, end = m.span()
+            while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if any(a < e and b > s for a, b in taken[k : k + 8]) or not self.sensitive.search(text, max(0, s - p.sensitive_before), s):
-                continue
-            if self.added(text[max(0, s - p.context) : s], piece, text[e : e + p.context]) >= p.bytes_per_char:
-                found.append((s, e, 3))
+            values = [v for v in self.values(text, start, end) if self.novel(text, *v, start, taken, k)]
+            if not values:
+                s, e = self.trimmed(text, start, end)
+                piece = text[s:e]
+                if any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece) and self.novel(text, s, e, s, taken, k):
+                    values = [(s, e)]
+            found += [(s, e, 3) for s, e in values]
         return found
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -80,6 +80,15 @@ def test_novelty_reports_random_strings_and_not_words():
     assert scan("the access key default_client_session_token_handler2 is_default_client_session_token_handler2")[1] == []
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY", "private_key", "access_key", "passphrase", "credential", "signature", "client_id", "bearer", "x" * 50 + "_private_key_" + "y" * 50])
+def test_novelty_reports_values_glued_to_their_names(name):
+    scan = secrets.Scanner().scan
+    for value in ("wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8vT3LkW5h2", "qZxWvKjYhGfBnMpLtRsDcXkQwJzVbHgT", "kP9/x+Q2vLm8ZtR4wYc7NbH1sDfG6jKa=="):
+        text = f"run with {name}={value} and go"
+        assert [(text[s:e], kind) for s, e, kind in scan(text)[1]] == [(value, 3)]
+    assert scan(f"{name}=default_client_session_handler in a file")[1] == [] and scan("plain=wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8vT3LkW5h2")[1] == []
+
+
 def test_masking_leaves_the_rest(spark):
     got = {r.doc_id: r.text for r in secrets.mask_secrets(odd(spark)).collect()}
     assert got[10] == "a <SECRET>\" <SECRET> b" and got[1] is None and got[4] == "word"
