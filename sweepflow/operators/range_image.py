@@ -47,12 +47,17 @@ def nearest_in_cell(points: DataFrame, cell: list[str], distance: str, point_id:
 def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, order: str, distance: str, span: int) -> DataFrame:
     """Points to cells in the order of arrival: a taken cell sends a point to the next column; if that is taken too the nearer of the two holds the first cell.
 
-    The rows of an image do not touch each other, and neither do spans of
-    `span` columns, for a point moves by one column at most, except at their
-    edges: a point of a span's last column is placed there or not at all. So
-    every task holds one row of one span.
+    The rows of an image do not touch each other, and neither do runs of columns
+    with a column without a point between them, for a point moves by one column
+    at most. So every group holds one run of one row. Runs are found in blocks
+    of `span` columns; a row without a gap is one group. Keys and columns must
+    not be null.
     """
-    source = points.withColumn("span", F.floor(F.col(column) / span))
+    block, at = F.floor(F.col(column) / span), [*keys, row]
+    columns = running(points.select(*at, column).distinct(), at, [column], F.col(column), "last", "previous", block, own=False)
+    begins = F.coalesce(F.col(column) - F.col("previous") > 1, F.lit(True)).cast("long")
+    runs = running(columns, at, [column], begins, "sum", "run", block)
+    source = points.join(runs.select(*at, column, "run"), [*at, column])
     schema = f"{', '.join(f'{k} long' for k in keys)}{', ' if keys else ''}{row} int, pid long, cell_column long, {distance} double"
 
     def place(group, frame):
@@ -61,7 +66,7 @@ def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, or
         for pid, col, d in zip(frame["pid"], frame[column], frame[distance]):
             if col not in taken:
                 taken[col] = (d, pid)
-            elif col + 1 not in taken and (col + 1) % span:
+            elif col + 1 not in taken:
                 taken[col + 1] = (d, pid)
             elif d < taken[col][0]:
                 taken[col] = (d, pid)
@@ -72,7 +77,7 @@ def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, or
             out[name] = value
         return out[[*keys, row, "pid", "cell_column", distance]]
 
-    return source.groupBy(*keys, row, "span").applyInPandas(lambda key, frame: place(key, frame), schema)
+    return source.groupBy(*keys, row, "run").applyInPandas(lambda key, frame: place(key, frame), schema)
 
 
 def densify(cells: DataFrame, columns: DataFrame, rows: int, keys: list[str]) -> DataFrame:

@@ -120,6 +120,13 @@ def test_placement_moves_a_taken_cell_on(spark):
     assert got == {3: 2, 4: 1, 5: 3}
 
 
+def test_placement_moves_points_over_block_borders(spark):
+    rows = [(0, 0, 0, 5.0, 511), (1, 0, 0, 4.0, 511), (2, 0, 0, 1.0, 512), (3, 0, 0, 9.0, 512), (4, 0, 0, 2.0, 1023), (5, 0, 0, 3.0, 1023), (6, 0, 0, 7.0, 1030)]
+    df = spark.createDataFrame(rows, "pid long, stream_id long, row_index int, d double, c long")
+    got = {r.cell_column: r.pid for r in range_image.place_in_order(df, ["stream_id"], "row_index", "c", "pid", "d", 512).collect()}
+    assert got == {511: 0, 512: 1, 513: 2, 1023: 4, 1024: 5, 1030: 6}
+
+
 def test_entropies_by_hand(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (0, 2), (0, 3)], "truth long, detection long").withColumn("f", F.lit(0))
     over = evaluate.over_segmentation(df, ["f"], "truth", "detection").first()
