@@ -35,6 +35,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, parts: int = 1000, how: str = "inner") -> DataFrame:
+    """Joins rows with a table that has one row for each key, and __n, how many of `rows` have it.
+
+    Keys that more than one in `parts` of the rows have, of which there are less
+    than `parts`, go to the rows by a broadcast; the others are few enough for
+    one task each. `how` may be inner or left. The column __n goes.
+    """
+    total = F.lit(table.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"] / parts)
+    heavy, light = table.where(F.col("__n") > total).drop("__n"), table.where(F.col("__n") <= total).drop("__n")
+    heavy = F.broadcast(heavy)
+    rest = rows.join(F.broadcast(table.where(F.col("__n") > total).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key, how))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows that go to Python at a time. Texts and sets are large, and a batch is held by the JVM and by Python, for each task."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,7 +28,7 @@ def op4_attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id"])
 
 
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +125,11 @@ found AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id
 covered AS (SELECT doc_id, twice OR coalesce(lag(twice) OVER p, false) OR coalesce(lag(twice, 2) OVER p, false) AS repeats FROM found WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 repeats AS (SELECT doc_id, count(*) FILTER (repeats) AS n FROM covered GROUP BY doc_id),
 counted AS (
-  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
-  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS lines FROM docs) JOIN cut USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines FROM docs) JOIN cut USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          word_chars < 2.5 * n_words OR word_chars > 12.0 * n_words OR n_symbols > 0.3 * n_words OR 100 * n_dup_lines > 30.0 * n_lines OR 100 * n_repeat_words > 30.0 * n_words AS soft FROM counted),

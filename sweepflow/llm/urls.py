@@ -1,30 +1,41 @@
 """URL filters: rules on hosts and paths, and a classifier on segmented names.
 
 Names in hosts and paths are runs of letters. A unigram model splits them into
-words by Viterbi search; its counts are those of all names in all urls, with a
-list of common words added, so that words run together come apart. A
-multinomial naive Bayes model scores the words of host and path. It learns from
-the urls themselves: a url with a seed word in its host is an example to block,
-any other one to allow. Rules come first; the model judges what no rule fits.
-
-Counts cover all rows. The vocabulary of either model is bounded by
-Filter.vocabulary, the most frequent names or words, which is what comes to the
-driver. Null urls and those without `://` have an empty host and path; nothing
-fits those, and the model allows them. Repeated rows count as often as they
-occur. With an empty table there is nothing to judge.
+words by Viterbi search. Its counts are those of the words in the text of all
+pages, with a list of common words added; urls themselves add nothing, so a
+name is no word only because it is a name. A word whose two halves are words
+many times as frequent is taken for a compound and left out, so that it comes
+apart.
+
+A multinomial naive Bayes model scores the words of host and path. A url with
+a seed word in its host is an example to block, any other one to allow. The
+seed by which a url is an example is not among its features: a seed is one only
+next to another seed. So what the model learns is what stands next to seeds,
+and a seed alone blocks nothing. Rules come first; the model judges what no rule
+fits.
+
+Counts cover all rows, and none is cut: words meet names, and weights meet
+features, in joins on tables. Keys of more than a fixed share of all rows, of
+which there can only be so many, are joined by a broadcast. Words of the lexicon
+have at most Filter.longest_word letters; names of any length are split.
+
+Null urls and those without `://` have an empty host and path; nothing fits
+those, and the model allows them. Null pages have no words. Repeated rows count
+as often as they occur; of equally good splits the one with the longest last
+word counts. With an empty table there is nothing to judge. Carried columns
+whose names clash with a result's give way to it.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, join_heavy, others, written
 
 #: The rules of the query, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -50,8 +61,8 @@ class Filter:
     seeds: frozenset[str] = frozenset(SEEDS.split())
     common: tuple[str, ...] = tuple(dict.fromkeys((COMMON + " " + SEEDS).split()))
     common_count: int = 200
-    vocabulary: int = 20_000
     longest_word: int = 24
+    compound: float = 10.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -71,115 +82,84 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return rule, verdict
 
 
-@dataclass
-class Segmenter:
-    """Unigram Viterbi. A word that isn't known costs ten times more with each letter."""
+def segment(name: str, counts: dict[str, int], total: int, options: Filter = Filter()) -> list[str]:
+    """The best split by unigram Viterbi. A run of letters that is no word costs ten times more with each letter."""
+    compound = lambda w, c: any(counts.get(w[:i], 0) >= options.compound * c and counts.get(w[i:], 0) >= options.compound * c for i in range(1, len(w)))
+    base = math.log(max(total, 1))
+    known = {w: math.log(c) - base for w, c in counts.items() if not compound(w, c)}
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        score, start = max((best[s] + known.get(name[s:end], math.log(10) * (s - end) - base), -s) for s in range(max(0, end - options.longest_word), end))
+        best.append(score)
+        back.append(-start)
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def page_words(pages: DataFrame, options: Filter, html: str | None) -> DataFrame:
+    """word and n: words in the text of all pages, tags, scripts and styles taken off, and the common words."""
+    common = pages.sparkSession.createDataFrame([(w, options.common_count) for w in options.common], "word string, n long")
+    if html is None:
+        return common
+    text = F.regexp_replace(F.lower(F.coalesce(F.col(f"`{html}`"), F.lit(""))), r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ")
+    words = pages.select(F.explode(F.filter(F.split(text, "[^a-z]+"), lambda w: (w != "") & (F.length(w) <= options.longest_word))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(common).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def name_runs(column: Column) -> Column:
+    return F.filter(F.split(column, "[^a-z]+"), lambda w: w != "")
+
+
+def split_names(names: DataFrame, lexicon: DataFrame, options: Filter) -> DataFrame:
+    """Adds `words` to distinct names. All runs within a name meet the lexicon: the short ones, whose number the alphabet bounds, by a broadcast."""
+    short = 3
+    total = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")).select("name", F.substring(F.col("name"), F.col("at"), F.lit(options.longest_word)).alias("rest"))
+    runs = starts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring(F.col("rest"), F.lit(1), k))).alias("word")).distinct()
+    long = F.length("word") > short
+    # At most 26 + 26^2 + 26^3 words are short.
+    met = runs.where(~long).join(F.broadcast(lexicon.where(~long)), "word").unionByName(runs.where(long).join(lexicon.where(long), "word"))
+    known = met.groupBy("name").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))  # as many as a name has runs, at most
+    given = names.join(known, "name", "left").withColumn("given", F.struct("name", "known"))
 
-    counts: dict[str, int]
-    longest: int
-    total: float = field(init=False)
-
-    def __post_init__(self):
-        self.total = math.log(sum(self.counts.values()) or 1)
-        self.known = {w: math.log(c) - self.total for w, c in self.counts.items()}
-        self.met: dict[str, tuple[str, ...]] = {}
-
-    def split(self, name: str) -> tuple[str, ...]:
-        """The words of a name; those met before are remembered, up to a bound."""
-        found = self.met.get(name)
-        if found is None:
-            if len(self.met) >= 100_000:
-                self.met.clear()
-            found = self.met[name] = self.search(name)
-        return found
-
-    def search(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            score, start = max((best[s] + self.known.get(w, math.log(10) * (1 - (end - s)) - self.total), s) for s in range(max(0, end - self.longest), end) for w in (name[s:end],))
-            best.append(score)
-            back.append(start)
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return tuple(reversed(words))
-
-    def words(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        """Words of the host (without its last label) and of the path."""
-        labels = host.rsplit(".", 1)[0]
-        return [w for n in re.findall("[a-z]+", labels) for w in self.split(n)], [w for n in re.findall("[a-z]+", path.lower()) for w in self.split(n)]
-
-
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes with one added to every count; words of host and path are different features."""
-
-    rows: tuple[int, int]
-    counts: dict[str, tuple[int, int]]
-
-    def __post_init__(self):
-        a, b = (sum(c[k] for c in self.counts.values()) + len(self.counts) + 1 for k in (0, 1))
-        self.weight = {w: math.log((c[1] + 1) / b) - math.log((c[0] + 1) / a) for w, c in self.counts.items()}
-        self.unknown = math.log(a / b)
-        self.prior = math.log((self.rows[1] + 1) / (self.rows[0] + 1))
-
-    def score(self, words: list[str]) -> float:
-        """Log odds of block against allow. A word that was never seen tells nothing."""
-        return self.prior + sum(self.weight.get(w, 0.0) for w in words)
-
-
-def features(host_words: list[str], path_words: list[str]) -> list[str]:
-    return [f"h:{w}" for w in host_words] + [f"p:{w}" for w in path_words]
-
-
-def fit_segmenter(pages: DataFrame, options: Filter = Filter(), url: str = "url") -> Segmenter:
-    host, path = url_parts(F.col(f"`{url}`"))
-    names = pages.select(F.explode(F.regexp_extract_all(F.concat_ws("/", F.regexp_replace(host, r"\.[^.]*$", ""), F.lower(path)), F.lit("([a-z]+)"), 1)).alias("name"))
-    top = names.groupBy("name").count().orderBy(F.desc("count"), "name").limit(options.vocabulary).collect()
-    counts = {r["name"]: r["count"] for r in top if len(r["name"]) <= options.longest_word}
-    for w in options.common:
-        counts[w] = counts.get(w, 0) + options.common_count
-    return Segmenter(counts, options.longest_word)
+    def start():
+        return lambda rows: {"words": [segment(r["name"], dict(r["known"] or ()), total, options) for r in rows]}
 
+    return annotate(given, start, [("words", T.ArrayType(T.StringType()))], "given", ["name", "n"])
 
-def fit_bayes(pages: DataFrame, segmenter: Segmenter, options: Filter = Filter(), url: str = "url") -> Bayes:
-    """Counts of all urls, by label."""
-    host, path = url_parts(F.col(f"`{url}`"))
-    # Equal names are segmented once for each task: only hosts and paths without digits are told apart.
-    parts = pages.select(F.concat(host, F.lit("\n"), F.regexp_replace(path, "[^A-Za-z]+", "/")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
-    def start():
-        def work(texts):
-            out = {"label": [], "words": []}
-            for t in texts:
-                h, p = segmenter.words(*t.split("\n", 1))
-                out["label"].append(int(any(w in options.seeds for w in h)))
-                out["words"].append(features(h, p))
-            return out
-
-        return work
-
-    labelled = annotate(parts, start, [("label", T.IntegerType()), ("words", T.ArrayType(T.StringType()))], keep=["n"])
-    # An empty word stands for the row itself.
-    found = labelled.select("label", "n", F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("allow"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("block"))
-    top = found.orderBy(F.desc(F.col("word") == ""), F.desc("block"), F.desc("allow"), "word").limit(options.vocabulary + 1).collect()
-    rows = next(((r["allow"], r["block"]) for r in top if r["word"] == ""), (0, 0))
-    return Bayes(rows, {r["word"]: (r["allow"], r["block"]) for r in top if r["word"] != ""})
-
-
-def judge(pages: DataFrame, options: Filter = Filter(), url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """Adds host, path, rule, verdict and score, the model's log odds to block."""
-    segmenter = fit_segmenter(pages, options, url)
-    bayes = fit_bayes(pages, segmenter, options, url)
+def judge(pages: DataFrame, options: Filter = Filter(), url: str = "url", html: str | None = "html", keep: list[str] | None = None) -> DataFrame:
+    """Adds host, path, rule, verdict and score, the model's log odds to block. Without html the lexicon is that of common words."""
     host, path = url_parts(F.col(f"`{url}`"))
-    carried = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("host", "path", "rule", "verdict", "score")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("host"), path.alias("path"), F.concat(host, F.lit("\n"), path).alias("__name"))
-
-    def start():
-        return lambda names: {"score": [bayes.score(features(*segmenter.words(*n.split("\n", 1)))) for n in names]}
-
-    scored = annotate(parts, start, [("score", T.DoubleType())], "__name", [*carried, "host", "path"])
+    carried = others(pages, ["host", "path", "rule", "verdict", "score"], keep)
+    # What the model sees of a url: its names, the host's without the last label.
+    names = F.concat_ws("\n", F.array_join(name_runs(F.regexp_replace(host, r"\.?[^.]*$", "")), " "), F.array_join(name_runs(F.lower(path)), " "))
+    rows = written(pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("host"), path.alias("path"), names.alias("__unit")), "urls")
+    units = written(rows.groupBy(F.col("__unit").alias("unit")).agg(F.count(F.lit(1)).alias("n")), "url-units")
+    sides = units.select("unit", "n", F.posexplode(F.split("unit", "\n")).alias("side", "part"))
+    used = sides.select("unit", "n", "side", F.explode(F.filter(F.split("part", " "), lambda w: w != "")).alias("name"))
+    distinct = used.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    split = written(split_names(written(distinct, "url-names"), written(page_words(pages, options, html), "url-lexicon"), options), "url-words")
+    met = join_heavy(used.drop("n"), split.withColumnRenamed("n", "__n"), "name")
+    is_seed = lambda w: w.isin(*sorted(options.seeds)) if options.seeds else F.lit(False)
+    words = written(met.select("unit", "side", F.explode("words").alias("word")).withColumn("seed", (F.col("side") == 0) & is_seed(F.col("word"))), "url-features")
+    labels = words.where("seed").groupBy("unit").agg(F.count_distinct("word").alias("seeds"))
+    labelled = units.join(labels, "unit", "left").select("unit", "n", F.coalesce("seeds", F.lit(0)).alias("seeds"))
+    prior = labelled.agg(F.coalesce(F.sum(F.when(F.col("seeds") > 0, F.col("n"))), F.lit(0)).alias("block"), F.coalesce(F.sum("n"), F.lit(0)).alias("every")).first()
+    feature = F.concat(F.when(F.col("side") == 0, F.lit("h:")).otherwise(F.lit("p:")), "word").alias("feature")
+    rated = words.join(labelled, "unit").where(~F.col("seed") | (F.col("seeds") > 1))
+    counts = rated.groupBy(feature).agg(F.sum(F.when(F.col("seeds") > 0, F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("seeds") == 0, F.col("n")).otherwise(0)).alias("allow"), F.count(F.lit(1)).alias("__n"))
+    counts = written(counts, "url-counts")
+    sums = counts.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
+    # One added to every count; a word that was never seen tells nothing.
+    weight = F.log((F.col("block") + 1) / F.lit(float(sums["block"] + sums["kinds"] + 1))) - F.log((F.col("allow") + 1) / F.lit(float(sums["allow"] + sums["kinds"] + 1)))
+    start = math.log((prior["block"] + 1) / (prior["every"] - prior["block"] + 1))
+    sums = join_heavy(words.select("unit", feature), counts.select("feature", weight.alias("weight"), "__n"), "feature").groupBy("unit").agg(F.sum("weight").alias("sum"))
+    scores = units.join(sums, "unit", "left").select(F.col("unit").alias("__unit"), F.col("n").alias("__n"), (F.coalesce("sum", F.lit(0.0)) + start).alias("score"))
+    scored = join_heavy(rows, written(scores, "url-scores"), "__unit").drop("__unit")
     rule, verdict = rule_of(F.col("host"), F.col("path"), options.rules)
     # Without a host there is nothing that the model could hold against a url.
     method = F.when((F.col("score") > 0) & (F.col("host") != ""), "block").otherwise("allow")
