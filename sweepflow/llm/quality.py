@@ -3,13 +3,18 @@
 Every document gets the counts of the base rules and a set of soft rules. The
 failures of the soft rules are summed by host (two partial aggregates, so a
 host with a third of all rows is no hot key), each host's failure rate is
-shrunk towards the mean of all hosts by a beta prior fitted to the hosts
+shrunk towards the mean of all documents by a beta prior fitted to the hosts
 themselves, and the verdicts go back to the documents by a join on the host. A
-document goes if it fails a base rule, or fails a soft rule on a host whose
-shrunk rate is over the limit: a clean document of a bad host stays.
+host is rejected where its rate is above the mean of all documents with a
+chance of more than 84 %, by its beta posterior, for which the normal
+distribution of the same mean and variance stands. A document goes if it fails
+a base rule, or fails a soft rule on a rejected host: a clean document of a bad
+host stays.
 
 Null or empty text: no words, so base_failed. Null host: a host of its own.
-Repeated rows count as often as they occur. Empty tables give empty results.
+Texts of any length are counted whole. Repeated rows count as often as they
+occur, ties don't matter. Empty tables give empty results. Carried columns
+whose names clash with a result's give way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, written
+from .common import annotate, join_heavy, others, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -37,7 +42,8 @@ class Limits:
     symbols_per_word: float = 0.3
     dup_lines_percent: float = 30.0
     repeat_words_percent: float = 30.0
-    host_rate: float = 0.5
+    #: Standard deviations of its posterior by which a host's rate has to be above the mean: 84 % of a normal distribution are below one.
+    deviations: float = 1.0
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -86,7 +92,7 @@ def soft_failures(limits: Limits) -> Column:
 
 
 def host_verdicts(counted: DataFrame, host: str, limits: Limits = Limits()) -> DataFrame:
-    """One row for each host: documents, failures, and the rate shrunk by the prior.
+    """One row for each host: documents, failures, the rate shrunk by the prior, and whether the host is rejected.
 
     The prior's mean is the rate of all documents; its weight comes from the
     spread of the hosts' rates by the method of moments, weighted by size, and
@@ -95,22 +101,26 @@ def host_verdicts(counted: DataFrame, host: str, limits: Limits = Limits()) -> D
     failed = (base_failed() | (soft_failures(limits) > 0)).cast("long")
     hosts = counted.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed"))
     rate = F.try_divide(F.col("n_failed"), F.col("n_docs"))
-    total = hosts.agg(F.sum("n_docs").alias("all_docs"), F.sum("n_failed").alias("all_failed"), F.sum(F.col("n_docs") * rate * rate).alias("sq"), F.count(F.lit(1)).alias("n_hosts"))
+    total = hosts.agg(F.sum("n_docs").alias("all_docs"), F.sum("n_failed").alias("all_failed"), F.sum(F.col("n_docs") * rate * rate).alias("sq"))
     mean = F.try_divide(F.col("all_failed"), F.col("all_docs"))
     variance = F.greatest(F.try_divide(F.col("sq"), F.col("all_docs")) - mean * mean, F.lit(0.0))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.coalesce(F.try_divide(mean * (1 - mean), variance) - 1, F.lit(1e6))))
     prior = total.select(mean.alias("prior_mean"), weight.alias("prior_weight"))
     shrunk = (F.col("n_failed") + F.col("prior_mean") * F.col("prior_weight")) / (F.col("n_docs") + F.col("prior_weight"))
     # The prior is one row.
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > limits.host_rate).alias("host_rejected"))
+    rated = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", shrunk)
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n_docs") + F.col("prior_weight") + 1))
+    return rated.select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > F.col("prior_mean") + limits.deviations * deviation).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
     """Adds the counts, base_failed, host_rate and kept to each document; the counts are made once, in a stored table that both uses read."""
-    carried = docs.columns if keep is None else keep
-    counted = count_rules(docs.withColumn("__host", F.col(f"`{host}`")), text, [*carried, "__host"])
+    carried = others(docs, [*COUNTS, "n_lines", "base_failed", "host_rate", "kept", "__host", "__soft"], keep)
+    # A null host has a key as well.
+    key = F.when(F.col(f"`{host}`").isNull(), "null").otherwise(F.concat(F.lit("host "), F.col(f"`{host}`").cast("string")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__words"), key.alias("__host"))
+    counted = count_rules(rows, "__words", [*carried, "__host"])
     counted = written(counted.withColumn("base_failed", base_failed()).withColumn("__soft", soft_failures(limits) > 0), "quality")
-    hosts = host_verdicts(counted, "__host", limits).select("host", "host_rate", "host_rejected")
-    joined = counted.join(hosts, F.col("__host").eqNullSafe(F.col("host")), "left").drop("host")
-    kept = ~F.col("base_failed") & ~(F.col("__soft") & F.col("host_rejected"))
-    return joined.withColumn("kept", kept).drop("__host", "__soft", "host_rejected", "n_lines")
+    hosts = written(host_verdicts(counted, "__host", limits), "hosts").select(F.col("host").alias("__host"), "host_rate", F.col("host_rejected").alias("__rejected"), F.col("n_docs").alias("__n"))
+    kept = ~F.col("base_failed") & ~(F.col("__soft") & F.col("__rejected"))
+    return join_heavy(counted, hosts, "__host").withColumn("kept", kept).select(*[F.col(f"`{c}`") for c in carried], *COUNTS, "base_failed", "host_rate", "kept")

@@ -136,8 +136,8 @@ judged AS (
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS f FROM judged GROUP BY source),
 prior AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
 weight AS (SELECT m, greatest(1.0, least(1e6, coalesce(m * (1 - m) / nullif(greatest(v, 0.0), 0) - 1, 1e6))) AS k FROM prior),
-rates AS (SELECT source, (f + m * k) / (n + k) AS host_rate FROM hosts, weight)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 6) AS host_rate, NOT base_failed AND NOT (soft AND host_rate > 0.5) AS kept
+rates AS (SELECT source, n, m, k, (f + m * k) / (n + k) AS host_rate FROM hosts, weight)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 6) AS host_rate, NOT base_failed AND NOT (soft AND host_rate > m + 1.0 * sqrt(host_rate * (1 - host_rate) / (r.n + k + 1))) AS kept
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 )

@@ -492,6 +492,29 @@ def test_quality_keeps_clean_documents_of_bad_hosts(spark):
     assert got[0].kept and not got[10].kept and got[50].kept and got[99].base_failed and len(got) == len(rows)
 
 
+def test_quality_of_odd_rows(spark):
+    clash = odd(spark).withColumns({"host": F.lit("clash"), "HOST_RATE": F.lit("clash"), "kept": F.lit("clash"), "n_lines": F.lit("clash"), "source": F.when(F.col("doc_id") < 5, F.col("source"))})
+    rows = quality.judge(clash).collect()
+    assert len(rows) == len(ODD) and sorted(rows[0].asDict()) == sorted([*quality.COUNTS, "base_failed", "host_rate", "kept", "doc_id", "text", "lang", "source", "n_chars", "SCORE", "host"])
+    for r in rows:
+        assert tuple(r[c] for c in quality.COUNTS) == quality.count_text(r.text)[:5]
+    assert {r.doc_id for r in rows if not r.base_failed} == set()
+    assert quality.judge(clash, host="host").count() == len(ODD)
+
+
+def test_host_verdicts_equal_plain_sums(spark):
+    rows = [(h, 100 if i >= bad else 10) for h, n, bad in (("a", 40, 4), ("b", 60, 7), ("c", 50, 20), (None, 30, 2)) for i in range(n)]
+    counted = spark.createDataFrame([(h, n, 5 * n, 0, 0, 0, 1) for h, n in rows], "h string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    sizes, bad = Counter(h for h, _ in rows), Counter(h for h, n in rows if n < 50)
+    mean = sum(bad.values()) / len(rows)
+    spread = sum(n * (bad[h] / n) ** 2 for h, n in sizes.items()) / len(rows) - mean**2
+    k = max(1.0, mean * (1 - mean) / spread - 1)
+    for r in quality.host_verdicts(counted, "h").collect():
+        rate = (bad[r.host] + mean * k) / (sizes[r.host] + k)
+        assert math.isclose(r.host_rate, rate) and r.host_rejected == (rate > mean + math.sqrt(rate * (1 - rate) / (sizes[r.host] + k + 1)))
+        assert r.host_rejected == (r.host == "c")
+
+
 # 10
 
 
