@@ -2,23 +2,32 @@
 
 Base kinds are fixed patterns, matched leftmost and without overlap, each kind
 on its own. The novelty kind looks at long key-like strings that no base span
-touches and that stand shortly after a sensitive word, and at what follows a `=`
-in them, with the name before it as part of what may be sensitive. zstandard, primed with a
-dictionary of common identifiers and with the text that follows the candidate,
-compresses the text before it with and without the candidate: what the
-candidate adds, in bytes for each of its characters, is its novelty. A string
-made of words and identifiers that were seen before adds little; a random one
-can't be compressed and is reported.
+touches and that stand shortly before or after a sensitive word, and at what
+follows a `=` in them, with the name before it as part of what may be sensitive.
+
+zstandard is primed with a dictionary: common identifiers of code, and the most
+frequent words and identifiers of the corpus itself, counted over all texts, as
+many as fit into Novelty.dictionary bytes. With it the text around a candidate
+is compressed without and with the candidate at its end. What the candidate
+adds, in bytes for each of its characters, is its novelty. Strings made of words
+that were seen before add little, random ones can't be compressed and are
+reported. The limit depends on the length, since short strings cost more for
+each character, and on the kinds of characters, which bound what a random string
+can add. Words with digits never enter the dictionary, so that a key that is
+copied often stays new.
 
 Null text counts as empty. Spans are in code points, end exclusive, and cover
-the whole match. Every row is judged by itself, so repeated rows, ties and
-empty tables need no rule. A text of any length is scanned as a whole.
+the whole match. Every row is judged by itself, given the dictionary, so
+repeated rows, ties and empty tables need no rule; words that are equally
+frequent enter the dictionary by code point. A text of any length is scanned as
+a whole. Carried columns whose names clash with a result's give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import zstandard
@@ -51,17 +60,32 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    """Parameters of the novelty kind."""
+    """Parameters of the novelty kind. `limits` are a and b of the limit a + b / length in bytes for each character, for strings with digits, with letters of both cases, and others."""
 
-    least: int = 16
+    least: int = 12
+    letters: int = 4
     context: int = 512
-    sensitive_before: int = 48
-    bytes_per_char: float = 0.55
-    bytes_per_letter: float = 0.8  # for a value without a digit: identifiers add up to 0.7, random letters 0.84 or more
+    sensitive_near: int = 48
+    dictionary: int = 32768
+    longest_word: int = 24
+    limits: tuple[tuple[float, float], ...] = ((0.62, 1.2), (0.82, 0.8), (0.74, 0.8))
     identifiers: str = IDENTIFIERS
     sensitive: str = r"pass(?:word|wd|phrase|code)|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(?:orization)?|bearer|credential|signature|client[_ -]?id|connection[_ -]?string"
 
 
+def corpus_dictionary(docs: DataFrame, text: str = "text", novelty: Novelty = Novelty()) -> bytes:
+    """The dictionary: rarer words first, frequent ones and the identifiers of code last, where they are cheapest to refer to. Only its size comes to the driver."""
+    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}_]+")).alias("word")).where(F.length("word").between(2, novelty.longest_word))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(novelty.dictionary // 3).collect()  # a word takes three bytes or more
+    data, room = [], novelty.dictionary - len(novelty.identifiers.encode())
+    for r in top:
+        room -= len(r["word"].encode()) + 1
+        if room < 0:
+            break
+        data.append(r["word"])
+    return " ".join([*reversed(data), novelty.identifiers]).encode()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the base kinds."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
@@ -73,16 +97,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Scanner:
     """Finds all spans of a text. One is made in each task."""
 
-    def __init__(self, novelty: Novelty = Novelty()):
+    def __init__(self, novelty: Novelty = Novelty(), dictionary: bytes | None = None):
         self.novelty = novelty
         self.long = re.compile(rf"[A-Za-z0-9+/_.=-]{{{novelty.least},}}")
         self.sensitive = re.compile(novelty.sensitive, re.IGNORECASE | re.ASCII)
+        primed = zstandard.ZstdCompressionDict(dictionary or novelty.identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=9)
+        self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
 
     def added(self, before: str, candidate: str, after: str) -> float:
-        """Bytes that the candidate adds to the compressed text before it, for each of its characters."""
-        prime = zstandard.ZstdCompressionDict((self.novelty.identifiers + after).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False).compress(x.encode("utf-8", "surrogatepass")))
-        return (size(before + candidate) - size(before)) / len(candidate)
+        """Bytes that the candidate adds to the compressed text around it, for each of its characters."""
+        size = lambda x: len(self.compressor.compress(x.encode("utf-8", "surrogatepass")))
+        return (size(after + before + candidate) - size(after + before)) / len(candidate)
+
+    def limit(self, piece: str) -> float:
+        kind = 0 if any(c.isdigit() for c in piece) else 1 if piece != piece.lower() and piece != piece.upper() else 2
+        a, b = self.novelty.limits[kind]
+        return a + b / len(piece)
 
     @staticmethod
     def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
@@ -103,30 +134,33 @@ class Scanner:
                 out.append((start + s, start + e))
         return out
 
-    def novel(self, text: str, s: int, e: int, name: int, taken: list[tuple[int, int]], k: int) -> bool:
-        """Whether a candidate is long enough, free of base spans, shortly after a sensitive word (the name glued to it included), and new."""
+    def novel(self, text: str, s: int, e: int, name: int, taken: list[tuple[int, int]], k: int, words: list[tuple[int, int]]) -> bool:
+        """Whether a candidate is long enough without sensitive words in it, free of base spans, near a sensitive word (the name glued to it included), and new."""
         p = self.novelty
-        if e - s < p.least or not self.sensitive.search(text, max(0, min(name, s - p.sensitive_before)), s):
+        if e - s < p.least or sum(c.isalpha() for c in text[s:e]) < p.letters:
+            return False
+        first = bisect_left(words, (max(0, min(name, s - p.sensitive_near)), 0))
+        near = words[first : bisect_left(words, (e + p.sensitive_near, 0))]
+        inside = sum(min(b, e) - max(a, s) for a, b in near if a < e and b > s)
+        if e - s - inside < p.least or not any(b <= s or a >= e for a, b in near):
             return False
         while k < len(taken) and taken[k][0] < e:
             if taken[k][1] > s:
                 return False
             k += 1
-        least = p.bytes_per_char if any(c.isdigit() for c in text[s:e]) else p.bytes_per_letter
-        return self.added(text[max(0, s - p.context) : s], text[s:e], text[e : e + p.context]) >= least
+        return self.added(text[max(0, s - p.context) : s], text[s:e], text[e : e + p.context]) >= self.limit(text[s:e])
 
     def novel_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        found, words = [], [m.span() for m in self.sensitive.finditer(text)]
         taken, k = sorted((s, e) for s, e, _ in base), 0
-        for m in self.long.finditer(text):
+        for m in self.long.finditer(text) if words else ():
             start, end = m.span()
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            values = [v for v in self.values(text, start, end) if self.novel(text, *v, start, taken, k)]
+            values = [v for v in self.values(text, start, end) if self.novel(text, *v, start, taken, k, words)]
             if not values:
                 s, e = self.trimmed(text, start, end)
-                piece = text[s:e]
-                if any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece) and self.novel(text, s, e, s, taken, k):
+                if self.novel(text, s, e, s, taken, k, words):
                     values = [(s, e)]
             found += [(s, e, 3) for s, e in values]
         return found
@@ -143,10 +177,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, novelty: Novelty = Novelty()) -> DataFrame:
     """Adds n_assign, n_access, n_hex, n_novel, base_sha256 and spans to each document."""
+    dictionary = corpus_dictionary(docs, text, novelty)
     fields = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("n_novel", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType())]
 
     def start():
-        scanner = Scanner(novelty)
+        scanner = Scanner(novelty, dictionary)
 
         def work(texts):
             out = {n: [] for n, _ in fields}
@@ -165,8 +200,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 def mask_secrets(docs: DataFrame, text: str = "text", novelty: Novelty = Novelty()) -> DataFrame:
     """Replaces what spans cover by <SECRET>, overlapping spans by one; other columns and rows stay. Null text stays null."""
 
+    dictionary = corpus_dictionary(docs, text, novelty)
+
     def start():
-        scanner = Scanner(novelty)
+        scanner = Scanner(novelty, dictionary)
 
         def mask(value):
             if value is None:

@@ -80,6 +80,39 @@ def test_novelty_reports_random_strings_and_not_words():
     assert scan("the access key default_client_session_token_handler2 is_default_client_session_token_handler2")[1] == []
 
 
+def planted(scanner, texts, alphabet, length, after, n=120):
+    """Share of random strings that are found next to a sensitive word in texts."""
+    r, hits = random.Random(9), 0
+    for _ in range(n):
+        t = r.choice(texts)
+        at = t.index(" ", r.randrange(len(t) - 100))
+        key = "".join(r.choice(alphabet) for _ in range(length))
+        cut = t[:at] + (f" {key} is the secret value" if after else f" the secret value {key}") + t[at:]
+        hits += any(k == 3 and cut[s:e] == key for s, e, k in scanner.scan(cut)[1])
+    return hits / n
+
+
+def test_novelty_recall_and_false_alarms(spark):
+    import string
+
+    docs = documents(spark)
+    scanner = secrets.Scanner(dictionary=secrets.corpus_dictionary(docs))
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) > 600 and not secrets.base_spans(r.text)]
+    mixed = string.ascii_letters + string.digits
+    for alphabet, length, least in ((mixed, 14, 0.75), (mixed, 20, 0.8), (mixed, 32, 0.9), (string.ascii_letters, 20, 0.55), (string.ascii_letters, 32, 0.75), (string.ascii_lowercase, 32, 0.25), (string.ascii_uppercase + string.digits, 16, 0.85)):
+        for after in (False, True):
+            assert planted(scanner, texts, alphabet, length, after) >= least, (alphabet, length, after)
+    # Nothing is novel in the texts as they are, and compounds of their words seldom are.
+    assert not any(k == 3 for t in texts for _, _, k in scanner.scan(t)[1])
+    r, wrong = random.Random(4), 0
+    for _ in range(300):
+        t = r.choice(texts)
+        words = [w for w in t.split() if w.isascii() and w.isalpha()]
+        name = r.choice("_.-/").join(r.choice(words).lower() for _ in range(4))
+        wrong += any(k == 3 for _, _, k in scanner.scan(f"{t} the secret value {name} here")[1])
+    assert wrong <= 30
+
+
 @pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY", "private_key", "access_key", "passphrase", "credential", "signature", "client_id", "bearer", "x" * 50 + "_private_key_" + "y" * 50])
 def test_novelty_reports_values_glued_to_their_names(name):
     scan = secrets.Scanner().scan
