@@ -85,7 +85,7 @@ def planted(scanner, texts, alphabet, length, after, n=120):
     r, hits = random.Random(9), 0
     for _ in range(n):
         t = r.choice(texts)
-        at = t.index(" ", r.randrange(len(t) - 100))
+        at = r.choice([m.start() for m in re.finditer(" ", t)])
         key = "".join(r.choice(alphabet) for _ in range(length))
         cut = t[:at] + (f" {key} is the secret value" if after else f" the secret value {key}") + t[at:]
         hits += any(k == 3 and cut[s:e] == key for s, e, k in scanner.scan(cut)[1])
@@ -316,7 +316,7 @@ def test_pieces_cover_all_documents_at_one_rate(spark):
     words = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
     assert Counter(w for r in got for w in bytes(r.words).split()) == words and {r.turn for r in got} == set(range(4))
     assert sum(r.starts for r in got) == sum(r.ends for r in got) == docs.count()
-    assert 0.06 * len(got) < lm.training_pieces(docs, lm.Model()).count() < 0.19 * len(got)
+    assert 0.1 * len(got) < lm.training_pieces(docs, replace(every, every=5)).count() < 0.3 * len(got)
 
 
 def ordered(spark, n=160):
