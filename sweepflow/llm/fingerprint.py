@@ -1,19 +1,25 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A text is cut into pieces of paragraphs: at line ends, after the ends of
-sentences and clauses, and where a clause runs on for PIECE characters. The bits of a piece's SHA-256
-are its vector of LANES zeros and ones. A fingerprint is the number of pieces
-and the sum of their vectors, three lanes of 20 bits to a word, each word
-modulo 2^60. The order of the pieces plays no part; pieces are put in and taken
-out by adding and subtracting. The likeness of two fingerprints is the cosine
-of their sums, with ones and minus ones for bits, and not below 0: the share of
-pieces that the texts have in common, give or take a tenth for the chance of
-the hash.
-
-Null text counts as empty: no pieces. Two empty fingerprints have likeness 1,
-an empty one and another have 0. Texts of any length are handled row by row;
-with more than a million pieces lanes run over into each other, which harms
-likeness alone.
+A text's paragraphs are its lines. A fingerprint is the number of paragraphs and
+the sum of their vectors: the SHA-512 of a paragraph gives WIDE numbers of 60
+bits, and each is summed modulo 2^60. The order of the paragraphs plays no part;
+paragraphs are put in and taken out by adding and subtracting. Equal multisets
+have equal fingerprints, and others differ but for a chance of 2^-480 or so.
+
+For the likeness of texts that share parts of paragraphs a second vector goes
+along, of pieces of paragraphs: cut after the ends of sentences and clauses, and
+where a clause runs on for PIECE characters. The bits of a piece's SHA-256 are
+its vector of LANES zeros and ones; two lanes of 30 bits are in a word, summed
+modulo 2^60. The likeness of two fingerprints is the cosine of these sums, with
+ones and minus ones for bits, and not below 0: the share of pieces that the
+texts have in common, give or take a tenth for the chance of the hash. Pieces
+begin anew with each paragraph, so both vectors are sums over paragraphs.
+
+Null text counts as empty: no paragraphs. Two empty fingerprints have likeness
+1, an empty one and another have 0. Texts of any length are handled row by row:
+a text has less than 2^30 pieces, so lanes don't run over. Columns but id and
+text are not read by compare_edits, so their names can't clash; columns of
+fingerprints() that begin with `__own` or are called `fingerprint` give way.
 """
 
 from __future__ import annotations
@@ -25,44 +31,53 @@ from pyspark.sql import Window as W
 from .common import written
 
 #: Parameters of the hash; fingerprints made with different ones can't be compared.
-PIECE, WORDS, SHIFTS, BITS = 80, 2, 20, 20
-LANES = WORDS * SHIFTS * 3
+WIDE, PIECE, WORDS, SHIFTS, BITS = 8, 80, 2, 30, 30
+LANES = WORDS * SHIFTS * 2
 MODULUS = 1 << 60
-MASK = 1 | 1 << BITS | 1 << 2 * BITS
+MASK = 1 | 1 << BITS
 ENDS = r"\n.!?,;:|"
-PIECES = rf"[^{ENDS}]{{1,{PIECE}}}[{ENDS}]*|[{ENDS}]+"
+PIECES = rf"[^{ENDS}]{{1,{PIECE}}}[{ENDS[2:]}]*\n?|[{ENDS[2:]}]+\n?|\n"
+
+
+def paragraphs(text: Column) -> Column:
+    """Lines, each with the line end that it has."""
+    return F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), 0)
 
 
 def pieces(text: Column) -> Column:
+    """Pieces of a text; no piece goes on after a line end."""
     return F.regexp_extract_all(text, F.lit(PIECES), 0)
 
 
 def with_fingerprint(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds <prefix>_n, the number of pieces, and <prefix>_sums, the words of the sum. `text` isn't null.
+    """Adds <prefix>_n, the number of paragraphs, <prefix>_wide, the sum of their vectors, and of the pieces <prefix>_pieces and <prefix>_sums. `text` isn't null.
 
     Each step is a projection of its own, so that no digest is computed twice.
     """
-    digests, words = f"{prefix}_digests", [f"{prefix}_word{k}" for k in range(WORDS)]
-    df = df.withColumn(digests, F.transform(pieces(F.col(text)), lambda p: F.sha2(p, 256)))
+    digests, fine, words = f"{prefix}_digests", f"{prefix}_fine", [f"{prefix}_word{k}" for k in range(WORDS)]
+    df = df.withColumns({digests: F.transform(paragraphs(F.col(text)), lambda p: F.sha2(p, 512)), fine: F.transform(pieces(F.col(text)), lambda p: F.sha2(p, 256))})
     number = lambda k: lambda d: F.conv(F.substring(d, 1 + 15 * k, 15), 16, 10).cast("long")
-    df = df.withColumns({w: F.transform(digests, number(k)) for k, w in enumerate(words)})
+    df = df.withColumns({w: F.transform(fine, number(k)) for k, w in enumerate(words)})
+    plain = lambda k: lambda total, d: (total + number(k)(d)).bitwiseAND(F.lit(MODULUS - 1))
     add = lambda j: lambda total, h: (total + F.shiftright(h, j).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MODULUS - 1))
+    wide = F.array(*[F.aggregate(digests, F.lit(0).cast("long"), plain(k)) for k in range(WIDE)])
     sums = F.array(*[F.aggregate(w, F.lit(0).cast("long"), add(j)) for w in words for j in range(SHIFTS)])
-    return df.withColumns({f"{prefix}_n": F.size(digests).cast("long"), f"{prefix}_sums": sums}).drop(digests, *words)
+    return df.withColumns({f"{prefix}_n": F.size(digests).cast("long"), f"{prefix}_wide": wide, f"{prefix}_pieces": F.size(fine).cast("long"), f"{prefix}_sums": sums}).drop(digests, fine, *words)
 
 
 def combine(n: Column, sums: Column, other_n: Column, other_sums: Column, sign: int = 1) -> tuple[Column, Column]:
-    """The fingerprint with the other one's pieces put in (sign 1) or taken out (sign -1)."""
+    """A number and sums with the other one's put in (sign 1) or taken out (sign -1), of paragraphs or of pieces."""
     return n + sign * other_n, F.zip_with(sums, other_sums, lambda a, b: F.pmod(a + sign * b, F.lit(MODULUS)))
 
 
-def as_text(n: Column, sums: Column) -> Column:
-    return F.concat(n.cast("string"), F.lit(":"), F.concat_ws("", F.transform(sums, lambda s: F.lpad(F.lower(F.hex(s)), 15, "0"))))
+def as_text(n: Column, wide: Column) -> Column:
+    return F.concat(n.cast("string"), F.lit(":"), F.concat_ws("", F.transform(wide, lambda s: F.lpad(F.lower(F.hex(s)), 15, "0"))))
 
 
 def likeness(n: Column, sums: Column, other_n: Column, other_sums: Column) -> Column:
+    """The cosine of two sums over n and other_n pieces."""
     lane = (1 << BITS) - 1
-    signed = lambda count, s: F.flatten(F.transform(s, lambda x: F.array(*[(2 * F.shiftright(x, BITS * k).bitwiseAND(F.lit(lane)) - count).cast("double") for k in range(3)])))
+    signed = lambda count, s: F.flatten(F.transform(s, lambda x: F.array(*[(2 * F.shiftright(x, BITS * k).bitwiseAND(F.lit(lane)) - count).cast("double") for k in range(60 // BITS)])))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
     a, b = signed(n, sums), signed(other_n, other_sums)
     cosine = F.try_divide(total(F.zip_with(a, b, lambda x, y: x * y)), F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x))))
@@ -72,8 +87,10 @@ def likeness(n: Column, sums: Column, other_n: Column, other_sums: Column) -> Co
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the column `fingerprint` to the documents."""
-    found = with_fingerprint(docs.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit(""))), "__text", "__own")
-    return found.withColumn("fingerprint", as_text(F.col("__own_n"), F.col("__own_sums"))).drop("__text", "__own_n", "__own_sums")
+    own = ["__own_n", "__own_wide", "__own_pieces", "__own_sums"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("fingerprint", "__text", *own)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    found = with_fingerprint(rows, "__text", "__own")
+    return found.withColumn("fingerprint", as_text(F.col("__own_n"), F.col("__own_wide"))).drop("__text", *own)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -131,16 +148,15 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = with_fingerprint(with_fingerprint(edited, "text", "own").drop("text"), "edited", "new").drop("edited")
     found = written(found, "fingerprints")
 
-    other = keyed(found.where("is_chosen"), "id").select(*key, F.col("own_n").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(key)
+    other = keyed(found.where("is_chosen"), "id").select(*key, F.col("own_pieces").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(key)
     joined = keyed(found, "next_id").join(other, key)
-    own = F.col("own_n"), F.col("own_sums")
-    new = F.col("new_n"), F.col("new_sums")
+    own, new = (F.col("own_pieces"), F.col("own_sums")), (F.col("new_pieces"), F.col("new_sums"))
     return joined.select(
         F.col("id").alias(doc_id),
         "n_chars",
         "edited_sha256",
-        as_text(*own).alias("fingerprint"),
-        as_text(*new).alias("edited_fingerprint"),
+        as_text(F.col("own_n"), F.col("own_wide")).alias("fingerprint"),
+        as_text(F.col("new_n"), F.col("new_wide")).alias("edited_fingerprint"),
         likeness(*own, *new).alias("near_edited"),
         likeness(*own, F.col("next_n"), F.col("next_sums")).alias("near_next"),
     )

@@ -8,14 +8,15 @@ used up. A source thus gives words at a rate in proportion to its target, and
 all sources reach their targets at the time 1.
 
 Running sums are built in two steps so that no source and no moment is one
-task: sums of (source, slot) and of (time slot), where slots are a fixed number
-of hash or time ranges, and then rows within a slot on top of the slot's start.
+task: sums of (source, slot), a slot being a fixed part of the hash range, and
+of ranges of finish time, and then rows within them on top of what comes before.
 
 Sizes are numbers of words; null text has size 0. The order of the shuffle is
 the MD5 of the id, then the id, then the size: reruns agree, and repeated rows
 are queued one after the other. Null ids and the null source (last in order)
 are values like any other. Empty tables give empty results, and a corpus
-without a word takes nothing.
+without a word takes nothing. A text of any length is one document. Columns but
+id, text and source are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def size_of(text: Column) -> Column:
 
 
 def queue_up(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, slot_bits: int, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, and upto: the source's cumulative size in shuffled order, the document's own included."""
+    """doc_id, source, size, source_size, target, row (a number of its own), and upto: the source's cumulative size in shuffled order, the document's own included."""
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
     sized = written(sized.withColumn("key", shuffle_key(F.col("doc_id"), seed)), "sized")
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "t_source")
@@ -80,53 +81,33 @@ def queue_up(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, sl
     queued = slotted.withColumn("within", F.sum("size").over(within))
     queued = queued.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slot") == F.col("s_slot")))
     queued = queued.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-    return written(queued.select("doc_id", "source", "size", "source_size", "target", (F.col("slot_start") + F.col("within")).alias("upto")), "queued")
+    queued = queued.select("doc_id", "source", "size", "source_size", "target", (F.col("slot_start") + F.col("within")).alias("upto"))
+    return written(queued.withColumn("row", F.monotonically_increasing_id()), "queued")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix:", slot_bits: int = 12, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, times and taken of each document.
 
-    The cut is found by sums over time slots: of the one slot in which the
-    budget runs out the same is done with finer slots, and what is left in one
-    of those is sorted. Only the place of the cut comes to the driver.
+    The queues are dealt out by ranges of finish time and stored with the number
+    of their range. Sums of ranges, a row each, are carried over to the next
+    ones; within a range a running sum goes on from there, and what goes beyond
+    the budget is cut off.
     """
     queued = queue_up(docs, weights, most, seed, slot_bits, doc_id, text, source)
-    finish = lambda r: F.try_divide((r * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
-    slots = 1 << slot_bits
-    coarse = lambda f: F.floor(F.least(f, F.lit(4.0)) * float(slots))
-    fine = lambda f: F.floor((F.least(f, F.lit(4.0)) * float(slots) - coarse(f)) * float(slots))
-    rank = lambda f: F.struct(f.alias("finish"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("upto").alias("upto"))
-
-    rounds = queued.where(F.col("size") > 0).withColumn("round", F.explode(F.array(*map(F.lit, range(most))))).withColumn("finish", finish(F.col("round")))
-    rounds = rounds.withColumns({"coarse": coarse(F.col("finish")), "fine": fine(F.col("finish"))})
+    finish = F.try_divide((F.col("round") * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
+    rounds = queued.where(F.col("size") > 0).withColumn("round", F.explode(F.array(*map(F.lit, range(most))))).withColumn("finish", finish)
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("upto"), F.col("row")]
+    ranged = rounds.select("row", "size", "finish", "source", "upto").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "mix-ranges")
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = ranged.withColumn("end", F.sum("size").over(within)).join(F.broadcast(starts), "part")  # one row for each range
     budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-
-    def crossing(rows: DataFrame, slot: str, start: int) -> tuple[int, int] | None:
-        """The first slot whose sum goes beyond the budget, and the sum before it."""
-        sums = rows.groupBy(slot).agg(F.sum("size").alias("n"))
-        sums = sums.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy(slot).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start)
-        found = sums.where(F.col("start") + F.col("n") > budget).agg(F.min(F.struct(slot, "start")).alias("x")).first()["x"]
-        return found and (found[0], found[1])
-
-    out = ["doc_id", "source", "size", "source_size", "target"]
-    at = crossing(rounds, "coarse", 0)
-    if at is None:  # there is no word at all
-        return queued.select(*out, F.lit(0).alias("times"), F.lit(0).cast("long").alias("taken"))
-    edge = rounds.where(F.col("coarse") == at[0])
-    at_fine = crossing(edge, "fine", at[1])
-    order = W.orderBy(rank(F.col("finish")), "round").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = edge.where(F.col("fine") == at_fine[0]).withColumn("end", F.sum("size").over(order) + at_fine[1])
-    last = last.where(F.col("end") <= budget).agg(F.max(rank(F.col("finish"))).alias("x")).first()["x"]
-
-    def inside(r: int) -> Column:
-        f = finish(F.lit(r))
-        found = (coarse(f) < at[0]) | ((coarse(f) == at[0]) & (fine(f) < at_fine[0]))
-        if last is not None:
-            found |= rank(f) <= F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["no_source"]).alias("no_source"), F.lit(last["source"]).alias("source"), F.lit(last["upto"]).cast("long").alias("upto"))
-        return found.cast("int")
-
-    times = F.when(F.col("size") > 0, sum((inside(r) for r in range(1, most)), inside(0))).otherwise(0)
-    return queued.select(*out, times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
+    times = summed.where(F.col("start") + F.col("end") <= budget).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    taken = queued.join(times, "row", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

@@ -85,7 +85,7 @@ def planted(scanner, texts, alphabet, length, after, n=120):
     r, hits = random.Random(9), 0
     for _ in range(n):
         t = r.choice(texts)
-        at = r.choice([m.start() for m in re.finditer(" ", t)])
+        at = r.choice([m.start() for m in re.finditer(r"\s", t)])
         key = "".join(r.choice(alphabet) for _ in range(length))
         cut = t[:at] + (f" {key} is the secret value" if after else f" the secret value {key}") + t[at:]
         hits += any(k == 3 and cut[s:e] == key for s, e, k in scanner.scan(cut)[1])
@@ -107,7 +107,7 @@ def test_novelty_recall_and_false_alarms(spark):
     r, wrong = random.Random(4), 0
     for _ in range(300):
         t = r.choice(texts)
-        words = [w for w in t.split() if w.isascii() and w.isalpha()]
+        words = [w for w in t.split() if w.isascii() and w.isalpha()] or ["word"]
         name = r.choice("_.-/").join(r.choice(words).lower() for _ in range(4))
         wrong += any(k == 3 for _, _, k in scanner.scan(f"{t} the secret value {name} here")[1])
     assert wrong <= 30
@@ -191,17 +191,38 @@ def test_components_equal_brute_force(spark, near):
 # 3
 
 
+def plain_fingerprint(t):
+    """Number and sums of paragraphs, number and lanes of pieces, from the digests one by one."""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", t)
+    wide = [sum(int(hashlib.sha512(x.encode()).hexdigest()[15 * k : 15 * k + 15], 16) for x in lines) % 2**60 for k in range(fingerprint.WIDE)]
+    ends = ".!?,;:|"
+    parts = [p for x in lines for p in re.findall(rf"[^\n{ends}]{{1,80}}[{ends}]*\n?|[{ends}]+\n?|\n", x)]
+    assert "".join(parts) == t
+    hashes = [int(hashlib.sha256(p.encode()).hexdigest()[15 * k : 15 * k + 15], 16) for p in parts for k in range(fingerprint.WORDS)]
+    lanes = [sum(h >> j & 1 for h in hashes[k :: fingerprint.WORDS]) for k in range(fingerprint.WORDS) for j in range(60)]
+    return f"{len(lines)}:" + "".join(f"{w:015x}" for w in wide), [2 * x - len(parts) for x in lanes]
+
+
+def plain_likeness(a, b):
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    size = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+    return 1.0 if a == b else min(1.0, max(0.0, dot(a, b) / size)) if size else 0.0
+
+
 def test_edits_and_fingerprints(spark):
     docs = documents(spark)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     order = sorted(texts, reverse=True)
     following = dict(zip(order, order[1:] + order[:1]))
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
     for r in fingerprint.compare_edits(docs).collect():
         t, k = texts[r.doc_id], len(texts[r.doc_id]) // 3
         assert r.n_chars == len(t)
         edited = t[: len(t) - k] + texts[following[r.doc_id]][:k]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and (texts[following[r.doc_id]] != t or r.near_next == 1)
+        own, new = prints[r.doc_id], plain_fingerprint(edited)
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], new[0])
+        assert math.isclose(r.near_edited, plain_likeness(own[1], new[1]), abs_tol=1e-9) and math.isclose(r.near_next, plain_likeness(own[1], prints[following[r.doc_id]][1]), abs_tol=1e-9)
 
 
 def test_fingerprints_of_odd_rows(spark):
@@ -209,18 +230,25 @@ def test_fingerprints_of_odd_rows(spark):
     assert len(rows) == len(ODD)
     same = {r.fingerprint for r in rows if r.doc_id in (6, 7)}
     assert len(same) == 1 and {r.fingerprint[:2] for r in rows if r.doc_id in (1, 2)} == {"0:"}
+    clash = odd(spark).withColumns({"fingerprint": F.lit("clash"), "__text": F.lit("clash")})
+    found = fingerprint.fingerprints(clash).collect()
+    assert len(found) == len(ODD) and all(r.fingerprint == plain_fingerprint(r.text or "")[0] for r in found)
 
 
 def test_fingerprints_are_a_multiset_hash(spark):
     rows = [("One.\nTwo.\nThree.\n", 1), ("Three.\nOne.\nTwo.\n", 2), ("One.\nTwo.\n", 3), ("Three.\n", 4), ("Three.", 5)]
     found = fingerprint.with_fingerprint(spark.createDataFrame(rows, "t string, i int"), "t", "f")
-    got = {r.i: (r.f_n, r.f_sums) for r in found.collect()}
+    got = {r.i: (r.f_n, r.f_wide, r.f_pieces, r.f_sums) for r in found.collect()}
     assert got[1] == got[2] and got[4] != got[5]
-    both = found.where("i = 3").crossJoin(found.where("i = 4").select(F.col("f_n").alias("n"), F.col("f_sums").alias("s")))
-    n, s = fingerprint.combine(F.col("f_n"), F.col("f_sums"), F.col("n"), F.col("s"))
-    added = both.select(n.alias("n"), s.alias("s")).first()
-    whole = fingerprint.with_fingerprint(spark.createDataFrame([("One.\nTwo.\nThree.\n",)], "t string"), "t", "f").first()
-    assert (added.n, added.s) == (whole.f_n, whole.f_sums)
+    for number, sums in (("f_n", "f_wide"), ("f_pieces", "f_sums")):
+        both = found.where("i = 3").crossJoin(found.where("i = 4").select(F.col(number).alias("n"), F.col(sums).alias("s")))
+        n, s = fingerprint.combine(F.col(number), F.col(sums), F.col("n"), F.col("s"))
+        added = both.select(n.alias("n"), s.alias("s")).first()
+        whole = found.where("i = 1").first()
+        assert (added.n, added.s) == (whole[number], whole[sums])
+        back = fingerprint.combine(F.col(number), F.col(sums), F.col("n"), F.col("s"), -1)
+        less = found.where("i = 1").crossJoin(found.where("i = 4").select(F.col(number).alias("n"), F.col(sums).alias("s"))).select(back[0].alias("n"), back[1].alias("s")).first()
+        assert (less.n, less.s) == (found.where("i = 3").first()[number], found.where("i = 3").first()[sums])
 
 
 # 4
