@@ -3,20 +3,26 @@
 An archive is two tables in one folder. `payloads` holds each different payload
 once, under its SHA-256, which is computed again and compared on every read.
 `headers` holds the exact header block of each record with the digest of its
-payload. Records are rebuilt by a join on the digest, and can be written as
-WARC files, whose records end in CR LF CR LF.
+payload. Records are rebuilt by a join on the digest, in which a payload that
+very many records share is copied to several tasks; what is read of a record
+comes from its rebuilt bytes. Records can be written as WARC files, whose
+records end in CR LF CR LF: each is a gzip member of its own, after which an
+empty member stands.
 
 Of the records with equal payloads of at least REVISIT_LEAST bytes, the one
 with the largest id is the response and the rest are revisits of it; smaller
 payloads are always responses. Null payloads count as empty, a null url as an
-empty one. Null ids sort before all others; rows that repeat the id and the
-payload of the response are responses too. Payloads of any length are handled
-row by row. Empty tables give empty archives.
+empty one; CR and LF in a url stand as %0D and %0A in its header. Null ids sort
+before all others; rows that repeat the id and the payload of the response are
+responses too. Payloads of any length are handled row by row. Empty tables give
+empty archives. Columns but id, url and html are not read, so their names can't
+clash.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..jobs.storage import checkpoint_dir
+from .common import join_salted
 
 #: Fixed values.
 REVISIT_LEAST = 1000
@@ -60,7 +67,7 @@ def header_block(kind: Column) -> Column:
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))),
-        ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        ("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_sha1"))),
         ("WARC-Refers-To", F.when(kind == "revisit", F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">")))),
@@ -101,14 +108,19 @@ def page_of(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: <urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
 
 
-def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """One row for each record from its header block, with the length and SHA-1 of the stored payload that its digest leads to.
+def rebuild(spark: SparkSession, archive: Archive) -> DataFrame:
+    """The records as bytes, header and body: header, record, and the payload that the record has or stands for. A revisit has no body of its own."""
+    full = join_salted(spark.read.parquet(archive.headers), read_payloads(spark, archive), "digest", F.xxhash64("header"))
+    body = F.when(header_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return full.select("header", F.concat(F.encode("header", "UTF-8"), body).alias("record"), "payload")
 
-    Payloads are measured before the join, so only digests are shuffled.
-    """
-    measured = read_payloads(spark, archive).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    records = spark.read.parquet(archive.headers).join(measured, "digest", "left")
-    return records.select(
+
+def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
+    """One row for each record, from its rebuilt bytes: what the header says, and length and SHA-1 of the full payload."""
+    own = F.substring(F.col("record"), F.octet_length("header") + 1, F.octet_length("record"))
+    records = rebuild(spark, archive).select("header", F.when(header_field("WARC-Type") == "revisit", F.col("payload")).otherwise(own).alias("payload"))
+    measured = records.select("header", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    return measured.select(
         page_of("WARC-Record-ID").alias("page_id"),
         "payload_bytes",
         "payload_digest",
@@ -119,21 +131,25 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     )
 
 
-def rebuild(spark: SparkSession, archive: Archive) -> DataFrame:
-    """The records as bytes, header and payload: page_id, record. A revisit has no payload of its own."""
-    records = spark.read.parquet(archive.headers)
-    full = records.join(read_payloads(spark, archive), "digest")
-    body = F.when(header_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return full.select(page_of("WARC-Record-ID").alias("page_id"), F.concat(F.encode("header", "UTF-8"), body).alias("record"))
+def gzip_member(data: bytes) -> bytes:
+    pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
 
+def export_warc(spark: SparkSession, archive: Archive, path: str, records_per_file: int = 10_000) -> None:
+    """Writes the records as gzipped WARC files of at most so many records, through Spark's writer of lines: a line is a gzip member, and an empty one is what separates lines."""
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip_member(r + b"\r\n\r\n") for r in batch.column(0).to_pylist()], pa.binary())], names=["member"])
 
-def export_warc(spark: SparkSession, archive: Archive, path: str) -> None:
-    """Writes the records as gzipped WARC files: payloads are UTF-8, and the separator of lines is what ends a record."""
-    rebuild(spark, archive).select(F.decode("record", "UTF-8").alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    members = rebuild(spark, archive).select("record").mapInArrow(pack, "member binary")
+    writer = members.select(F.col("member").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", gzip_member(b"").decode("iso-8859-1")).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header and payload of the records in WARC files, plain or gzipped; each file is one task's, read by its Content-Length fields."""
+    """page_id, header and payload of the records in WARC files, plain or gzipped; each file is one task's, held as a whole (2 GB at most) and read by its Content-Length fields."""
     import gzip
 
     def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
