@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.storage import checkpointed
+from .joins import join_heavy
 
 
 def _marks(edges: DataFrame) -> tuple[int, int]:
@@ -30,9 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     marks = _marks(pairs)
     while marks[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("__n")).select("u", F.least("u", "m").alias("m"), "__n")
         # Large star: edges (larger neighbour, smallest known).
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_heavy(both.where("v > u"), least, "u", total=marks[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpointed(large.where("u <> v").distinct())
         # Small star: smaller neighbours and the node itself to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
