@@ -21,7 +21,8 @@ bucket with a chance of 6e-9 (about 1e-5 at 0.8), and no pair is linked that
 isn't similar enough. Documents without words (or text) have the empty set,
 no links, and are their own component. Null ids are never the smallest of a
 component that has any other id. Rows that repeat an id are rows of their own
-with the set of their own text.
+with the set of their own text. A text of any length is read whole. Columns but
+id and text are not read by components_of, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import annotate, small_batches, written
+from .common import annotate, join_heavy, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -287,14 +288,16 @@ def components_of(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id",
     more = remaining_links(compared, first, near.percent)
     # The components so far stand for their links.
     final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    rows = signed.select("doc_id", "n_shingles", "cls")
-    named = rows.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = written(named, "named")
-    # Stored, so that the join deals out both sides itself and may split a component with very many documents.
-    smallest = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
-    joined = named.join(smallest, "component", "left")
-    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Rows without a word are set aside; a class or a component may have a large share of the others.
+    rows = signed.where("cls is not null").select("doc_id", "n_shingles", "cls")
+    classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("smallest")).join(final.withColumnRenamed("node", "cls"), "cls", "left")
+    classes = written(classes.withColumn("component", F.coalesce("component", "cls")), "classes")
+    components = classes.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("__classes"))
+    owners = join_heavy(classes.drop("smallest").withColumnRenamed("__n", "__rows"), components.withColumnRenamed("__classes", "__n"), "component")
+    owners = written(owners.select("cls", "component_id", F.col("__rows").alias("__n")), "owners")
+    joined = join_heavy(rows, owners, "cls").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, near: Near = Near(words=5, percent=80, bands=50, rows=5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
