@@ -27,6 +27,8 @@ class Ground:
     near_ground_max_dr: float = 2.0
     demote_max_dr: float = 0.3
     use_terrain: bool = False
+    #: With use_terrain, how far from the point before a flat one may be.
+    terrain_max_dr: float = 5.0
     #: Robot's box in its own frame: x, y, z ranges.
     ego_box: tuple[tuple[float, float], tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0), (0.0, 0.0))
     robot_height: float = 0.0

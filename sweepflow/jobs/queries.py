@@ -12,6 +12,8 @@ from ..config import Config
 from ..functions import geometry as g
 from ..operators import clusters, evaluate, ground, motion, neighbors, poses, range_image, scans, sinks
 from ..sources.derived import COLUMNS, ROWS, events, points
+from ..sources.messages import slice_topics
+from . import ground_truth
 
 #: Parameters of the derived stream's queries.
 DISTANCE, BACK, APART = 0.3, 3, 5
@@ -143,6 +145,71 @@ SELECT col, n_points, c AS column_in_rotation, rotation, rotation * 128 + c AS g
 """
 
 
+def crossing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firings three columns on each time whose lasers lag by up to six columns, so that many lie across the seam."""
+    return points(spark, sf_dir).withColumn("column_in_rotation", F.pmod(F.col("col") * 3 + 40 - F.col("row_index") % 7, F.lit(COLUMNS)))
+
+
+def seam_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = range_image.unwrap_points(crossing_points(spark, sf_dir), COLUMNS, ["stream_id"], "col", "row_index", "column_in_rotation", F.floor(F.col("col") / BLOCK))
+    return found.select("pid", "stream_id", "column_in_rotation", "global_column", "first_unfinished", "late", "bad_start", "fell_back")
+
+
+#: In this fixture the global column is known beforehand.
+SEAM_ROTATIONS = POINTS + """,
+placed AS (SELECT pid, stream_id, col, col * 3 + 40 - row_index % 7 AS global_column FROM points),
+bounds AS (SELECT stream_id, col, min(global_column) AS rearmost FROM placed GROUP BY ALL),
+marks AS (SELECT stream_id, col, max(rearmost) OVER (PARTITION BY stream_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_unfinished FROM bounds)
+SELECT pid, stream_id, global_column % 128 AS column_in_rotation, global_column, first_unfinished, coalesce(global_column < first_unfinished, false) AS late, false AS bad_start, false AS fell_back
+FROM placed JOIN marks USING (stream_id, col)
+"""
+
+
+def firing_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.firing_stamps(points(spark, sf_dir), ["stream_id", "col"], "stamp_ns")
+
+
+FIRING_STAMPS = POINTS + "SELECT stream_id, col, count(*) AS n_points, min(stamp_ns) + (max(stamp_ns) - min(stamp_ns)) // 2 AS firing_ns FROM points GROUP BY ALL"
+
+
+def full_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a range image from which some returns are missing."""
+    p = points(spark, sf_dir).withColumn("sensor", F.lit(0))
+    cells = p.where(F.col("event_type") != "error").select("sensor", "col", "row_index", "pid", F.col("az").alias("continuous_azimuth"))
+    full = range_image.densify(cells, p.select("sensor", "col").distinct(), ROWS, ["sensor"])
+    return range_image.refill(full, COLUMNS).select("col", "row_index", "pid", F.round("continuous_azimuth", 6).alias("continuous_azimuth"))
+
+
+FULL_CELLS = POINTS + """,
+cells AS (SELECT * FROM points WHERE event_type <> 'error')
+SELECT c.col, CAST(r AS INTEGER) AS row_index, pid, round(coalesce(az, (c.col + 0.5) * (2 * pi() / 128)), 6) AS continuous_azimuth
+FROM (SELECT DISTINCT col FROM points) c CROSS JOIN range(16) t(r) LEFT JOIN cells p ON p.col = c.col AND p.row_index = r
+"""
+
+
+def frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: where a point goes depends on those before it."""
+    p = points(spark, sf_dir).withColumns({"frame": F.floor(F.col("col") / COLUMNS), "cell": range_image.column_of_frame(F.col("x"), F.col("y"), 48)})
+    return range_image.organize_frame(p, ["stream_id", "frame"], "row_index", "cell", "pid", 48)
+
+
+def topic_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of some topics in a span of time, with the last latched one before it."""
+    e = events(spark, sf_dir).select("event_id", F.col("event_type").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    span = e.agg(F.min("micros").alias("a"), F.max("micros").alias("b")).first()
+    start, end = (span["a"] + (span["b"] - span["a"]) * k // 4 for k in (1, 2)) if span["a"] is not None else (0, 0)
+    return slice_topics(e, "topic", ["micros", "event_id"], ["click", "error"], ["purchase", "signup"], start, end)
+
+
+TOPIC_SLICE = """
+WITH e AS (SELECT event_id, event_type AS topic, epoch_us(ts) AS micros FROM events),
+span AS (SELECT min(micros) + (max(micros) - min(micros)) // 4 AS a, min(micros) + (max(micros) - min(micros)) * 2 // 4 AS b FROM e),
+latched AS (SELECT topic, arg_max(event_id, (micros, event_id)) AS event_id FROM e, span WHERE topic IN ('purchase', 'signup') AND micros < a GROUP BY topic)
+SELECT event_id, topic, micros, false AS latched FROM e, span WHERE topic IN ('click', 'error', 'purchase', 'signup') AND micros BETWEEN a AND b
+UNION ALL SELECT event_id, topic, micros, true FROM e JOIN latched USING (event_id, topic)
+"""
+
+
 def time_jump_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     found = range_image.time_jump_sessions(e, ["user_id"], ["micros", "event_id"], F.col("micros") / 1e6, 3600.0, F.floor(F.col("micros") / (7 * 86400 * 10**6)))
@@ -308,6 +375,75 @@ SELECT cluster_id, count(*) AS num_points, min(col) AS min_column, max(col) AS m
 """
 
 
+def closed_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters with the columns in which they close, and the columns with their smallest azimuths."""
+    found = clusters.cluster_statistics(labelled(spark, sf_dir), CLUSTERING, COLUMNS).withColumn("sensor", F.lit(0))
+    cells = points(spark, sf_dir).select(F.lit(0).alias("sensor"), "col", F.col("az").alias("continuous_azimuth"))
+    columns = clusters.column_azimuths(cells, ["sensor"])
+    return clusters.closing_columns(found, columns, ["sensor"], COLUMNS), columns
+
+
+def cluster_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, _ = closed_clusters(spark, sf_dir)
+    numbered = clusters.number_closed(closed, ["sensor"], CLUSTERING, F.floor(F.col("closing_column") / BLOCK))
+    return numbered.select("cluster_id", "num_points", "min_column", "closing_column", "id")
+
+
+CLOSING = COMPONENTS + """,
+stats AS (SELECT cluster_id, count(*) AS num_points, min(col) AS min_column, max(col * (2 * pi() / 128) + asin(least(1.0, 0.3 / dist))) AS finish FROM labelled GROUP BY cluster_id),
+columns_ AS (SELECT col, min(az) AS min_azimuth FROM points GROUP BY col),
+closed AS (SELECT cluster_id, any_value(num_points) AS num_points, any_value(min_column) AS min_column, min(col) AS closing_column FROM stats LEFT JOIN columns_ ON min_azimuth >= finish GROUP BY cluster_id)
+"""
+CLUSTER_CLOSING = CLOSING + """
+SELECT cluster_id, num_points, min_column, closing_column, CASE WHEN num_points > 5 THEN CAST(sum(CASE WHEN num_points > 5 THEN 1 ELSE 0 END) OVER (ORDER BY closing_column, cluster_id ROWS UNBOUNDED PRECEDING) AS BIGINT) ELSE 0 END AS id
+FROM closed WHERE closing_column IS NOT NULL
+"""
+
+
+def released_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, columns = closed_clusters(spark, sf_dir)
+    return clusters.released_columns(closed, columns, ["sensor"], F.floor(F.col("col") / BLOCK)).select("col", "first_unpublished")
+
+
+RELEASED_COLUMNS = CLOSING + """
+SELECT c.col, least(c.col + 1, min(k.min_column)) AS first_unpublished FROM columns_ c LEFT JOIN closed k ON k.closing_column IS NULL OR k.closing_column > c.col GROUP BY c.col
+"""
+
+
+def truth_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects for ground-truth clusters: a few instances of four classes in each frame."""
+    kinds = F.array(*map(F.lit, (10, 30, 40, 71)))
+    return points(spark, sf_dir).select(F.col("stream_id").cast("int").alias("sequence"), F.floor(F.col("col") / COLUMNS).cast("int").alias("frame"), F.col("pid").cast("int").alias("point_idx"), "x", "y", "z", F.element_at(kinds, (F.col("intensity") % 4 + 1).cast("int")).alias("semantic_label"), F.lit(1).alias("instance_label"))
+
+
+def truth_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ground_truth.euclidean_clusters(truth_points(spark, sf_dir), least=2, most=60)
+    return found.select("sequence", "frame", "point_idx", "semantic_label", "cluster_label")
+
+
+TRUTH_CLUSTERS = POINTS.replace("WITH base", "WITH RECURSIVE base") + """,
+truth AS (SELECT CAST(stream_id AS INTEGER) AS sequence, CAST(col // 128 AS INTEGER) AS frame, CAST(pid AS INTEGER) AS point_idx, x, y, z, [10, 30, 40, 71][intensity % 4 + 1] AS semantic_label FROM points),
+pairs AS (
+  SELECT a.point_idx AS a, b.point_idx AS b FROM truth a JOIN truth b USING (sequence, frame, semantic_label)
+  WHERE a.point_idx < b.point_idx AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 1.0),
+sym AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, root) AS (SELECT u, u FROM sym UNION SELECT v, root FROM reach JOIN sym ON node = u WHERE v > root),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+named AS (SELECT t.*, coalesce(root, point_idx) AS root FROM truth t LEFT JOIN roots ON point_idx = node),
+sizes AS (SELECT sequence, frame, root, any_value(semantic_label) AS kind FROM named GROUP BY sequence, frame, root HAVING count(*) BETWEEN 2 AND 60),
+numbers AS (SELECT sequence, frame, root, kind, row_number() OVER (PARTITION BY sequence, frame ORDER BY root) AS number FROM sizes)
+SELECT n.sequence, n.frame, n.point_idx, n.semantic_label, CAST(CASE WHEN number IS NULL OR kind = 40 THEN 0 ELSE number END AS INTEGER) AS cluster_label
+FROM named n LEFT JOIN numbers k ON n.sequence = k.sequence AND n.frame = k.frame AND n.root = k.root
+"""
+
+
+def detections_on_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections carry packed ids; a part of them has none."""
+    e = evaluation_points(spark, sf_dir).withColumn("point_idx", (F.col("event_id") % 2048).cast("int")).withColumns({"sequence": F.col("sequence").cast("int"), "frame": F.col("frame").cast("int")})
+    found = e.select(g.pack_id(F.col("sequence"), F.col("frame"), F.when(F.col("event_id") % 7 == 0, -1).otherwise(F.col("point_idx"))).alias("packed_id"), "is_ground", F.col("detection").alias("detection_label"))
+    return evaluate.detections_on_truth(e.select("event_id", "sequence", "frame", "point_idx", "semantic"), found, ["sequence", "frame", "point_idx"])
+
+
 def evaluation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth and detections from events: eleven sequences, frames of a rotation."""
     classes = F.array(*map(F.lit, (0, 40, 44, 48, 49, 60, 72, 10, 50, 70)))
@@ -334,6 +470,12 @@ scored AS (SELECT *, tp / nullif(tp + fn, 0) AS recall, tp / nullif(tp + fp, 0)
 """
 
 
+DETECTIONS_ON_TRUTH = EVALUATION + """
+SELECT event_id, CAST(sequence AS INTEGER) AS sequence, CAST(frame AS INTEGER) AS frame, CAST(event_id % 2048 AS INTEGER) AS point_idx, semantic,
+       event_id % 7 <> 0 AS found, event_id % 7 <> 0 AND is_ground AS is_ground, CASE WHEN event_id % 7 <> 0 THEN detection ELSE 0 END AS detection_label FROM p
+"""
+
+
 def ground_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluate.ground_confusion(evaluation_points(spark, sf_dir), ["sequence", "frame"], "semantic", F.col("is_ground"))
     scores = evaluate.metrics(*map(F.col, ("tp", "fn", "fp", "tn")))
@@ -434,7 +576,7 @@ def cell_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_image.place_in_order(p, ["stream_id"], "row_index", "target_column", "pid", "dist", 512)
 
 
-FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement]
+FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, seam_rotations, firing_stamps, full_cells, frame_images, topic_slice, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, cluster_closing, released_columns, truth_clusters, detections_on_truth, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

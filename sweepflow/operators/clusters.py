@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Clustering
 from ..functions.geometry import TWO_PI
 from .components import connected_components
+from .scans import running
 
 
 def label_points(points: DataFrame, links: DataFrame, keep: list[str]) -> DataFrame:
@@ -45,3 +46,44 @@ def published(labelled: DataFrame, p: Clustering) -> DataFrame:
     """Points of published clusters."""
     wanted = cluster_sizes(labelled, p).where("published").select("cluster_id")
     return labelled.join(wanted, "cluster_id", "left_semi")
+
+
+def column_azimuths(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest continuous azimuth of each column: the watermark by which clusters are closed."""
+    return cells.groupBy(*keys, "col").agg(F.min("continuous_azimuth").alias("min_azimuth"))
+
+
+def closing_columns(found: DataFrame, columns: DataFrame, keys: list[str], num_columns: int, look: int = 3) -> DataFrame:
+    """Adds closing_column, the first column whose smallest azimuth is not below a cluster's finish_azimuth; null while it is open.
+
+    The columns of an image have no gaps, so that column is among the few from
+    the one on in which the angle lies: an equi-join finds it.
+    """
+    at = F.floor(F.col("finish_azimuth") / F.lit(TWO_PI / num_columns)).cast("long")
+    asked = found.select(*keys, "cluster_id", "finish_azimuth", F.explode(F.array(*[at + k for k in range(-1, look)])).alias("col"))
+    closed = asked.join(columns, [*keys, "col"]).where(F.col("min_azimuth") >= F.col("finish_azimuth")).groupBy(*keys, "cluster_id").agg(F.min("col").alias("closing_column"))
+    return found.join(closed, [*keys, "cluster_id"], "left")
+
+
+def number_closed(closed: DataFrame, keys: list[str], p: Clustering, block: Column) -> DataFrame:
+    """Adds id, counted from 1 in the order of closing for clusters with enough points; 0 for smaller ones. Expects closing_column; open clusters are left out."""
+    done = closed.where(F.col("closing_column").isNotNull()).withColumn("__counts", (F.col("num_points") > p.min_points_id).cast("long"))
+    counted = running(done, keys, ["closing_column", "cluster_id"], F.col("__counts"), "sum", "id", block)
+    return counted.withColumn("id", F.when(F.col("__counts") == 1, F.col("id")).otherwise(0)).drop("__counts")
+
+
+def released_columns(closed: DataFrame, columns: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Adds first_unpublished to each column: the oldest column that a cluster still open there needs, else the next one. It never decreases.
+
+    Open ones are those that close in a later column or not at all. Expects
+    closed with min_column and closing_column, columns with col; block is one of
+    `col`.
+    """
+    last = F.lit((1 << 62))
+    needs = closed.select(*keys, F.coalesce("closing_column", last).alias("col"), F.col("min_column").alias("__need")).groupBy(*keys, "col").agg(F.min("__need").alias("__need"))
+    # Those that never close are needed by all columns from their own on: one minimum for each key.
+    never = needs.where(F.col("col") == last).select(*keys, F.col("__need").alias("__never"))
+    rows = columns.select(*keys, "col").join(needs.where(F.col("col") < last), [*keys, "col"], "left").withColumns({"__back": -F.col("col"), "__block": -block})
+    later = running(rows.withColumnRenamed("__block", "__from"), keys, ["__back"], -F.col("__need"), "max", "__later", F.col("__from"), own=False)
+    joined = later.join(F.broadcast(never), keys, "left") if keys else later.crossJoin(F.broadcast(never.agg(F.min("__never").alias("__never"))))
+    return joined.select(*keys, "col", F.least(F.col("col") + 1, -F.col("__later"), F.col("__never")).alias("first_unpublished"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions.geometry import unpack_id
 
 
 def confusion(points: DataFrame, keys: list[str], truth: Column, predicted: Column) -> DataFrame:
@@ -20,6 +21,19 @@ def ground_confusion(points: DataFrame, keys: list[str], semantic: str, is_groun
     return confusion(points.where(F.col(semantic) != labels.UNLABELED), keys, truth, is_ground)
 
 
+def detections_on_truth(truth: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
+    """Truth points with is_ground and detection_label of the detection that has their packed id, and `found`; points without one are no ground and have label 0.
+
+    Expects packed_id, is_ground and detection_label in detections; detections
+    without an id are left out. Of several with one id the largest label counts.
+    """
+    s, f, i = unpack_id(F.col("packed_id"))
+    named = detections.where(F.col("packed_id").isNotNull()).select(*[c.alias(k) for c, k in zip((s, f, i), keys)], "is_ground", "detection_label")
+    one = named.groupBy(*keys).agg(F.max(F.struct("detection_label", "is_ground")).alias("best"))
+    joined = truth.join(one, keys, "left")
+    return joined.withColumns({"found": F.col("best").isNotNull(), "is_ground": F.coalesce("best.is_ground", F.lit(False)), "detection_label": F.coalesce("best.detection_label", F.lit(0))}).drop("best")
+
+
 def metrics(tp: Column, fn: Column, fp: Column, tn: Column) -> dict[str, Column]:
     """Null where a score has no denominator."""
     recall, precision = F.try_divide(tp, tp + fn), F.try_divide(tp, tp + fp)

@@ -48,6 +48,8 @@ def scan_columns(r: np.ndarray, z: np.ndarray, skip: np.ndarray, p: Ground) -> t
         with np.errstate(divide="ignore", invalid="ignore"):
             slope, ground_slope = dz / dr, gz / gr
         flat = (np.abs(slope) < p.max_slope) & (dr > 0)
+        if p.use_terrain:
+            flat &= dr < p.terrain_max_dr
         flat_ground = (np.abs(ground_slope) < p.max_slope) & (gr > 0)
         first = here & ~started
         ring = (gz > p.first_ring_min_dz) & (gz < p.first_ring_max_dz)

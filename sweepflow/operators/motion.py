@@ -53,3 +53,9 @@ def column_firings(frames: DataFrame, num_columns: int) -> DataFrame:
     """A firing for each column of a frame, its stamp in proportion between start_ns and end_ns."""
     columns = frames.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(num_columns - 1))))
     return columns.withColumn("firing_ns", F.expr(f"start_ns + (end_ns - start_ns) * column div {num_columns - 1}"))
+
+
+def firing_stamps(points: DataFrame, firing: list[str], stamp: str) -> DataFrame:
+    """Points of each firing and its stamp, the middle between its first and last point's."""
+    first, last = F.min(stamp), F.max(stamp)
+    return points.groupBy(*firing).agg(F.count(F.lit(1)).alias("n_points"), (first + F.shiftright(last - first, 1)).alias("firing_ns"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +21,37 @@ def unwrap_rotations(firings: DataFrame, num_columns: int, keys: list[str], orde
     return turned.withColumn("global_column", F.col("rotation") * num_columns + F.col(column))
 
 
+def half_turn(difference: Column, num_columns: int) -> Column:
+    """A difference of columns, brought to within half a turn either way."""
+    half = num_columns / 2
+    return F.when(difference < -half, difference + num_columns).when(difference > half, difference - num_columns).otherwise(difference)
+
+
+def unwrap_points(points: DataFrame, num_columns: int, keys: list[str], firing: str, row: str, column: str, block: Column) -> DataFrame:
+    """Adds global_column, first_unfinished (the largest rearmost column of earlier firings), late, bad_start and fell_back to points.
+
+    The points of a firing are placed by their way round from its first one, so
+    a firing may lie across the seam. Its rearmost point goes on from that of the
+    firing before by the shorter way round. A firing that is longer than half a
+    turn is a bad start, and so is a first one across the seam. Where firings
+    fall back from the foremost by more than half a turn, the shorter way is no
+    longer the one from there: fell_back says so. Points without a column are
+    left out; keys and firings must not be null.
+    """
+    first = W.partitionBy(*keys, firing).orderBy(row).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seen = points.where(F.col(column).isNotNull()).withColumn("__way", half_turn(F.col(column) - F.first(column).over(first), num_columns))
+    bounds = seen.groupBy(*keys, firing).agg(F.min("__way").alias("__least"), F.max("__way").alias("__most"), F.min_by(F.col(column), F.col(row)).alias("__first"), F.min(column).alias("__plain"), F.max(column).alias("__far"))
+    bounds = bounds.withColumn("__rear", F.pmod(F.col("__first") + F.col("__least"), F.lit(num_columns)))
+    known = running(bounds, keys, [firing], F.col("__rear"), "last", "__before", block, own=False)
+    step = F.when(F.col("__before").isNull(), F.col("__rear")).otherwise(half_turn(F.col("__rear") - F.col("__before"), num_columns))
+    placed = running(known, keys, [firing], step, "sum", "__at", block)
+    placed = running(placed, keys, [firing], F.col("__at"), "max", "first_unfinished", block, own=False)
+    long = (F.col("__most") - F.col("__least") > num_columns / 2) | (F.col("__before").isNull() & (F.col("__far") - F.col("__plain") > num_columns / 2))
+    placed = placed.select(*keys, firing, "__least", "__at", "first_unfinished", long.alias("bad_start"), F.coalesce(F.col("first_unfinished") - F.col("__at") > num_columns / 2, F.lit(False)).alias("fell_back"))
+    joined = seen.join(placed, [*keys, firing]).withColumn("global_column", F.col("__at") + F.col("__way") - F.col("__least"))
+    return joined.withColumn("late", F.coalesce(F.col("global_column") < F.col("first_unfinished"), F.lit(False))).drop("__way", "__least", "__at")
+
+
 def firing_bounds(points: DataFrame, keys: list[str], firing: str, column: str) -> DataFrame:
     """Rearmost and foremost column of each firing, over all its points, late ones too."""
     return points.groupBy(*keys, firing).agg(F.min(column).alias("rearmost"), F.max(column).alias("foremost"))
@@ -50,9 +83,10 @@ def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, or
     The rows of an image do not touch each other, and neither do runs of columns
     with a column without a point between them, for a point moves by one column
     at most. So every group holds one run of one row. Runs are found in blocks
-    of `span` columns; a row without a gap is one group. Keys and columns must
-    not be null.
+    of `span` columns; a row without a gap is one group. Points without a
+    distance (null or NaN) take no cell. Keys and columns must not be null.
     """
+    points = points.where(F.col(distance).isNotNull() & ~F.isnan(distance))
     block, at = F.floor(F.col(column) / span), [*keys, row]
     columns = running(points.select(*at, column).distinct(), at, [column], F.col(column), "last", "previous", block, own=False)
     begins = F.coalesce(F.col(column) - F.col("previous") > 1, F.lit(True)).cast("long")
@@ -80,6 +114,44 @@ def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, or
     return source.groupBy(*keys, row, "run").applyInPandas(lambda key, frame: place(key, frame), schema)
 
 
+def organize_frame(points: DataFrame, frame: list[str], laser: str, column: str, order: str, width: int, shift: bool = True) -> DataFrame:
+    """The range image of whole frames: frame, laser, column, the point's `order`, and whether it had to move.
+
+    A taken cell sends a point to the right, else to the left, else the point
+    takes the cell from the one before. Lasers of a frame don't touch each other,
+    and a frame is one sweep, so a group has a bound. Points without a column are
+    left out.
+    """
+    types = dict(points.dtypes)
+    schema = "".join(f"`{c}` {types[c]}, " for c in [*frame, laser]) + f"`{column}` long, `{order}` {types[order]}, moved boolean"
+
+    def place(group, rows):
+        import pandas as pd
+
+        taken: dict[int, tuple[int, bool]] = {}
+        for index, own in rows.sort_values(order)[[order, column]].itertuples(index=False):
+            at = own = int(own)
+            if shift and own in taken:
+                at = next((c for c in (own + 1, own - 1) if 0 <= c < width and c not in taken), own)
+            taken[at] = (index, at != own)
+        out = pd.DataFrame({column: list(taken), order: [i for i, _ in taken.values()], "moved": [m for _, m in taken.values()]})
+        for name, value in zip([*frame, laser], group):
+            out[name] = value
+        return out[[*frame, laser, column, order, "moved"]]
+
+    return points.where(F.col(column).isNotNull()).select(*frame, laser, column, order).groupBy(*frame, laser).applyInPandas(place, schema)
+
+
+def column_of_frame(x: Column, y: Column, width: int) -> Column:
+    """The column of a clockwise sweep; the very end belongs to the last one."""
+    return F.least(F.floor((F.lit(math.pi) - F.atan2(y, x)) / F.lit(2 * math.pi / width)), F.lit(width - 1)).cast("long")
+
+
+def refill(cells: DataFrame, num_columns: int) -> DataFrame:
+    """Angles of empty cells: the middle of their column. Expects col and continuous_azimuth."""
+    return cells.withColumn("continuous_azimuth", F.coalesce("continuous_azimuth", (F.col("col") + 0.5) * F.lit(2 * math.pi / num_columns)))
+
+
 def densify(cells: DataFrame, columns: DataFrame, rows: int, keys: list[str]) -> DataFrame:
     """All cells of the given columns; those without a point have nulls."""
     full = columns.select(*keys, "col", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row_index"))

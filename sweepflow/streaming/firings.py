@@ -1,8 +1,9 @@
 """Firings as a stream: rotations are counted and late points dropped with a small state for each sensor.
 
-The state of a sensor is its last column, its rotation and how far columns are
-finished; that is all that the next micro-batch needs. A micro-batch's size is
-set at the source, so a group's rows have a bound.
+The state of a sensor is the largest rearmost column of all its firings, which
+tells the rotation and how far columns are finished; that is all that the next
+micro-batch needs. A micro-batch's size is set at the source, so a group's rows
+have a bound.
 """
 
 from __future__ import annotations
@@ -14,33 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "stream_id long, pid long, firing_index long, row_index int, rotation long, global_column long, late boolean"
-STATE = "last_column long, rotation long, finished_before long"
+STATE = "rearmost long"
 
 
-def step(state: tuple[int, int, int], frame: pd.DataFrame, num_columns: int) -> tuple[tuple[int, int, int], pd.DataFrame]:
-    """Takes the firings of a sensor in their order. Expects firing_index, pid, row_index and column_in_rotation."""
-    last, rotation, finished = state
+def step(rearmost: int, frame: pd.DataFrame, num_columns: int) -> tuple[int, pd.DataFrame]:
+    """Takes the firings of a sensor in their order. Expects firing_index, pid, row_index and column_in_rotation.
+
+    Every point is placed by the shorter way round from the largest rearmost
+    column so far, -1 before the first firing. A firing longer than half a turn
+    is a bad start: its points come out, and it begins anew.
+    """
     half, parts = num_columns / 2, []
     for _, firing in frame.sort_values(["firing_index", "pid"]).groupby("firing_index", sort=True):
-        rear = int(firing["column_in_rotation"].min())
-        if last >= 0 and rear - last < -half:
-            rotation += 1
-        elif last > 0 and rear - last > half:
-            rotation -= 1
-        last = rear
-        column = rotation * num_columns + firing["column_in_rotation"]
-        parts.append(firing[["stream_id", "pid", "firing_index", "row_index"]].assign(rotation=rotation, global_column=column, late=column < finished))
-        finished = max(finished, int(column.min()))
-    return (last, rotation, finished), pd.concat(parts)
+        column = firing["column_in_rotation"]
+        base = max(rearmost, 0)
+        way = column - base % num_columns
+        turn = base // num_columns + (way < -half).astype(int) - ((way > half) & (rearmost > 0)).astype(int)
+        placed = turn * num_columns + column
+        bad = placed.max() - placed.min() > half
+        parts.append(firing[["stream_id", "pid", "firing_index", "row_index"]].assign(rotation=turn, global_column=placed, late=(placed < rearmost) & (not bad)))
+        rearmost = -1 if bad else max(rearmost, int(placed.min()))
+    return rearmost, pd.concat(parts)
 
 
 def unwrap_stream(points: DataFrame, num_columns: int) -> DataFrame:
     """Adds rotation, global_column and late to a stream of points with stream_id."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else (-1, 0, -(1 << 62))
+        now = int(state.get[0]) if state.exists else -1
         now, out = step(now, pd.concat(frames), num_columns)
-        state.update(now)
+        state.update((now,))
         yield out
 
     return points.groupBy("stream_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

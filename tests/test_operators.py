@@ -160,3 +160,67 @@ def test_pose_of_a_gps_row(spark):
     zero = F.lit(0.0)
     m = spark.range(1).select(motion.mercator_pose(zero, F.lit(1.0), F.lit(3.0), zero, zero, F.lit(np.pi / 2), F.lit(1.0)).alias("m")).first().m
     assert np.allclose(m[:3], [0, -1, 0], atol=1e-12) and np.isclose(m[3], motion.EARTH_RADIUS * np.pi / 180) and np.isclose(m[11], 3)
+
+
+def plain_rotations(firings, n):
+    """One firing after the other, as lists of columns; the largest rearmost column is carried on."""
+    rear, out = -1, []
+    for columns in firings:
+        placed = []
+        for c in columns:
+            turn, way = max(rear, 0) // n, c - max(rear, 0) % n
+            placed.append((turn + (way < -n / 2) - (rear > 0 and way > n / 2)) * n + c)
+        out.append((placed, rear))
+        rear = max(rear, min(placed))
+    return out
+
+
+def test_rotations_across_the_seam_equal_a_plain_loop(spark):
+    """A firing at 99 and 0 of 100 columns after one at 97 and 98 stays at 99 and 100; small steps back are kept."""
+    r, columns, at = random.Random(2), [[97, 98], [99, 0]], 102
+    for _ in range(300):
+        at += r.choice([-2, 0, 1, 5, 30])
+        columns.append([(at - r.randint(0, 8)) % 100 for _ in range(4)])
+    rows = [(0, f, i, c) for f, cs in enumerate(columns) for i, c in enumerate(cs)]
+    df = spark.createDataFrame(rows, "s int, f long, i int, c int")
+    got = {(x.f, x.i): x for x in range_image.unwrap_points(df, 100, ["s"], "f", "i", "c", F.floor(F.col("f") / 37)).collect()}
+    for f, (placed, rear) in enumerate(plain_rotations(columns, 100)):
+        for i, g_ in enumerate(placed):
+            assert (got[f, i].global_column, got[f, i].late) == (g_, f > 0 and g_ < rear) and not got[f, i].bad_start and not got[f, i].fell_back
+    assert [got[1, i].global_column for i in (0, 1)] == [99, 100]
+    import pandas as pd
+
+    from sweepflow.streaming import firings
+
+    frame = pd.DataFrame([(0, f * 16 + i, f, i, c) for _, f, i, c in rows], columns=["stream_id", "pid", "firing_index", "row_index", "column_in_rotation"])
+    _, out = firings.step(-1, frame, 100)
+    assert all(got[x.firing_index, x.row_index].global_column == x.global_column and got[x.firing_index, x.row_index].late == x.late for x in out.itertuples())
+
+
+def test_a_first_firing_across_the_seam_is_a_bad_start(spark):
+    df = spark.createDataFrame([(0, 0, 0, 99), (0, 0, 1, 1), (0, 1, 0, 2), (0, 1, 1, None)], "s int, f long, i int, c int")
+    got = range_image.unwrap_points(df, 100, ["s"], "f", "i", "c", F.col("f")).collect()
+    assert len(got) == 3 and {(x.f, x.bad_start) for x in got} == {(0, True), (1, False)}
+
+
+def test_frame_images_equal_a_plain_loop(spark):
+    r = random.Random(6)
+    rows = [(f, k, r.choice([None, *range(12)]), i) for i in range(500) for f, k in [(r.randint(0, 2), r.randint(0, 3))]]
+    df = spark.createDataFrame(rows, "f int, k int, c long, i long")
+    want = {}
+    for f, k, c, i in rows:
+        if c is not None:
+            free = [x for x in (c, c + 1, c - 1) if 0 <= x < 12 and (f, k, x) not in want]
+            at = free[0] if free else c
+            want[f, k, at] = (i, at != c)
+    assert {(x.f, x.k, x.c): (x.i, x.moved) for x in range_image.organize_frame(df, ["f"], "k", "c", "i", 12).collect()} == want
+
+
+def test_terrain_bounds_flat_steps():
+    far, near = ((11, -1.4), (5, -1.5)), ((9, -1.4), (5, -1.5))
+    assert scan(*far)[0][0] == "flat" and scan(*far, use_terrain=True)[0][0] == "steep" and scan(*near, use_terrain=True)[0][0] == "flat"
+
+
+def test_points_without_distance_take_no_cell(spark):
+    df = spark.createDataFrame([(0, 0, 0, NAN, 3), (1, 0, 0, None, 3), (2, 0, 0, 4.0, 3)], "pid long, stream_id long, row_index int, d double, c long")
+    assert [(r.cell_column, r.pid) for r in range_image.place_in_order(df, ["stream_id"], "row_index", "c", "pid", "d", 512).collect()] == [(3, 2)]
