@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, written
 
 #: The base patterns in the order in which kinds are listed, with the least length of what counts.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -74,11 +74,22 @@ class Novelty:
 
 
 def corpus_dictionary(docs: DataFrame, text: str = "text", novelty: Novelty = Novelty()) -> bytes:
-    """The dictionary: rarer words first, frequent ones and the identifiers of code last, where they are cheapest to refer to. Only its size comes to the driver."""
+    """The dictionary: rarer words first, frequent ones and the identifiers of code last, where they are cheapest to refer to.
+
+    A histogram of the counts tells from which count on the words are few
+    enough, so no more than these come to the driver.
+    """
     words = docs.select(F.explode(F.split(F.col(f"`{text}`"), r"[^\p{L}_]+")).alias("word")).where(F.length("word").between(2, novelty.longest_word))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(novelty.dictionary // 3).collect()  # a word takes three bytes or more
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    step, total, least = F.floor(F.log2("n") * 16), 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > novelty.dictionary // 3:  # a word takes three bytes or more
+            break
+        least = r["step"]
+    top = counts.where(step >= least).collect() if least is not None else []
     data, room = [], novelty.dictionary - len(novelty.identifiers.encode())
-    for r in top:
+    for r in sorted(top, key=lambda r: (-r["n"], r["word"])):
         room -= len(r["word"].encode()) + 1
         if room < 0:
             break
