@@ -209,7 +209,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, near: Near, text: str) -> DataFr
         return work
 
     made = annotate(docs.select(F.col(f"`{text}`").alias("text")), start, [("cls", T.BinaryType()), ("shingles", T.BinaryType())], keep=[])
-    return made.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    # Copies become one in their tasks, before anything is shuffled.
+    return made.where("cls is not null").groupBy("cls").agg(F.first("shingles").alias("shingles")).join(wanted, "cls", "left_semi")
 
 
 def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
