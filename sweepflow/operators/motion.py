@@ -24,6 +24,17 @@ def mercator_pose(lat: Column, lon: Column, alt: Column, roll: Column, pitch: Co
     )
 
 
+def gps_poses(rows: DataFrame, keys: list[str], order: str, sensor: Column | None = None) -> DataFrame:
+    """Adds m, the pose of each GPS and IMU row, times `sensor`, the IMU's transform from the sensor, if it is given.
+
+    The scale of the projection is that of the first row's latitude: an
+    aggregate of one row for each of `keys`, joined to its rows.
+    """
+    first = rows.groupBy(*keys).agg(F.cos(F.radians(F.min_by("lat", order))).alias("__scale"))
+    m = mercator_pose(*[F.col(c) for c in ("lat", "lon", "alt", "roll", "pitch", "yaw", "__scale")])
+    return rows.join(first, keys).withColumn("m", m if sensor is None else g.compose(m, sensor)).drop("__scale")
+
+
 def relative_to_first(poses: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Poses in the frame of their sequence's first one, which is found by an aggregate and joined: one row for each sequence."""
     first = poses.groupBy(*keys).agg(F.min(F.struct(order, "m"))["m"].alias("first"))

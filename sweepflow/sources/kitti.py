@@ -4,7 +4,8 @@ A sequence folder SS holds velodyne/NNNNNN.bin (little-endian float32 x, y, z,
 intensity), labels/NNNNNN.label (two uint16 a point), optional clusters (one
 uint16 a point), times.txt, poses.txt and calib.txt. A binary file is decoded by
 the task that read it; sequence, frame and the point's place in its file are
-columns, on which labels are joined to points.
+columns, on which labels are joined to points. A recorded drive DD holds
+oxts/data/NNNNNNNNNN.txt, one row of GPS and IMU values a frame.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import geometry, labels
 
 POINT = [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("i", "<f4")]
 LABEL = [("semantic_label", "<u2"), ("instance_label", "<u2")]
 CLUSTER = [("cluster_label", "<u2")]
+#: Rows of [R | t] from a camera's axes (right, down, forward) to a vehicle's (forward, left, up).
+VEHICLE_FROM_CAMERA = [0.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0]
+#: Places of the fields in a row of GPS and IMU values.
+OXTS = {"lat": 0, "lon": 1, "alt": 2, "roll": 3, "pitch": 4, "yaw": 5, "forward": 8, "left": 9, "up": 10}
 
 
 def _numbers(path: Column) -> tuple[Column, Column]:
@@ -70,7 +75,7 @@ def clusters(spark: SparkSession, root: str, sequence: str = "*") -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """sequence, line and value: one small text file for each sequence, read whole, so that lines have numbers."""
-    read = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    read = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = read.select(F.regexp_extract("path", r"(\d+)/[^/]+$", 1).cast("int").alias("sequence"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("line", "value"))
     return lines.where("trim(value) <> ''")
 
@@ -95,9 +100,41 @@ def calibration(spark: SparkSession, root: str, sequence: str = "*") -> DataFram
     return found.select("sequence", F.trim(F.split("value", ":")[0]).alias("key"), _matrix(F.split("value", ":")[1]).alias("m"))
 
 
+def sensor_poses(spark: SparkSession, root: str, sequence: str = "*", epoch_ns: int = 0) -> DataFrame:
+    """sequence, frame, stamp_ns and m, the sensor's pose in axes of the vehicle, of each stamp.
+
+    The camera's pose is turned to the vehicle's axes and joined with the
+    sequence's Tr, camera from sensor. A stamp without a pose, or a sequence
+    without Tr, stops the job; poses beyond the last stamp are left out.
+    """
+    from_sensor = calibration(spark, root, sequence).where("key = 'Tr'").select("sequence", F.col("m").alias("sensor"))
+    found = times(spark, root, sequence, epoch_ns).join(poses(spark, root, sequence), ["sequence", "frame"], "left").join(from_sensor, "sequence", "left")
+    turned = geometry.compose(F.array(*map(F.lit, VEHICLE_FROM_CAMERA)), geometry.compose(F.col("m"), F.col("sensor")))
+    missing = F.raise_error(F.format_string("sequence %s frame %s: no pose or no calibration", "sequence", "frame"))
+    return found.select("sequence", "frame", "stamp_ns", F.when(F.col("m").isNotNull() & F.col("sensor").isNotNull(), turned).otherwise(missing).alias("m"))
+
+
+def static_transform(spark: SparkSession, path: str) -> DataFrame:
+    """path and m of files with a line of nine numbers after R: and one of three after T:. A file without them stops the job."""
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    numbers = lambda key: _matrix(F.regexp_extract("value", rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    rows = read.select("path", numbers("R").alias("r"), numbers("T").alias("t"))
+    m = F.array(*[x for i in range(3) for x in (F.col("r")[3 * i], F.col("r")[3 * i + 1], F.col("r")[3 * i + 2], F.col("t")[i])])
+    broken = F.raise_error(F.concat("path", F.lit(": no R with nine and T with three numbers")))
+    return rows.select("path", F.when((F.size("r") == 9) & (F.size("t") == 3), m).otherwise(broken).alias("m"))
+
+
+def oxts(spark: SparkSession, root: str, drive: str = "*") -> DataFrame:
+    """drive, frame and the fields of OXTS, from one small file a frame, of which the first line counts."""
+    read = spark.read.text(f"{root}/{drive}/oxts/data/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    at = r"([^/]+)/oxts/data/(\d+)\.txt$"
+    numbered = read.select(F.regexp_extract("path", at, 1).alias("drive"), F.regexp_extract("path", at, 2).cast("int").alias("frame"), _matrix(F.split("value", "\r?\n")[0]).alias("v"))
+    return numbered.select("drive", "frame", *[F.col("v")[i].alias(n) for n, i in OXTS.items()])
+
+
 def raw_stamps(spark: SparkSession, path: str) -> DataFrame:
     """frame and stamp_ns of lines with a date, a time and nine digits of a second, taken as UTC."""
-    read = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("frame", "value"))
+    read = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("frame", "value"))
     seconds = F.unix_timestamp(F.to_utc_timestamp(F.to_timestamp(F.substring("value", 1, 19), "yyyy-MM-dd HH:mm:ss"), F.current_timezone()))
     return read.select("frame", (seconds * 1_000_000_000 + F.substring("value", 21, 9).cast("long")).alias("stamp_ns"))
 
