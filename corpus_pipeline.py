@@ -1,8 +1,9 @@
 """From raw documents to token ids, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; run()
-stores what a stage returns as Parquet in the shared folder and hands the next
-one what it reads back. All but the last return the columns of `documents`.
+stores what a stage returns as Parquet in the shared folder, deletes what the
+stage wrote on the way, and hands the next one what it reads back. All but the
+last return the columns of `documents`.
 """
 
 from __future__ import annotations
@@ -12,17 +13,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweepflow.jobs.storage import scratch
 from sweepflow.llm import bpe, langid, minhash, mixing, secrets
-from sweepflow.llm.common import table, written
+from sweepflow.llm.common import table
 
 #: The stages learn from their own input, so no SQL says the same; tests hold them against brute force.
 ORACLE_SQL = None
+#: From which score on a found language replaces a label.
+SURE = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter go, for they have no language. A missing label is filled in; others stay."""
-    found = langid.identify(docs, langid.train(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents without text or without a letter go, for they have no language.
+
+    The others get the language found where they have no label, or where the network's score is at least SURE.
+    """
+    found = langid.identify(docs, langid.train(docs))
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +66,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

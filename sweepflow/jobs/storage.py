@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables written within each open scratch().
+_open: list[list[str]] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in local runs, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where that is unset, a new local one in local mode, and an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sweepflow-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -21,3 +31,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, read from the checkpoint folder: nothing before has to be computed again if an executor is lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those written by the function that it hands out."""
+    _open.append([])
+    try:
+        yield functools.partial(written, keep=True)
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
