@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..jobs.storage import checkpoint_dir
+from ..jobs.storage import written  # noqa: F401
 from ..operators.joins import join_heavy, join_salted  # noqa: F401
 
 #: Words are runs of anything but ASCII white space (fixed value).
@@ -28,14 +27,6 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows that go to Python at a time. Texts and sets are large, and a batch is held by the JVM and by Python, for each task."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,8 +5,9 @@ batches of windows go through filters of several widths, max pooling over the
 window and a softmax; a text's probabilities are the mean over its windows,
 weighted by their bytes. The network is trained in numpy on windows of a
 bounded sample: Training.docs_per_language labelled documents of each language,
-those with the smallest hash of the id, with up to Training.windows_per_doc
-windows spread over the whole of each.
+or as many fewer as keep the sample within Training.docs, those with the
+smallest hash of the id, with up to Training.windows_per_doc windows spread over
+the whole of each. Every label is learned, however rare.
 
 Language, source and id are never inputs of a prediction. Null texts and texts
 without a letter are `und` with score 0, and so is every text if nothing was
@@ -36,7 +37,7 @@ class Training:
     """Bounds of the training sample, and the shape of the network."""
 
     docs_per_language: int = 300
-    languages: int = 200
+    docs: int = 60_000
     windows_per_doc: int = 6
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
@@ -175,11 +176,12 @@ def training_windows(docs: DataFrame, training: Training = Training(), doc_id: s
     the rows wanted; only rows below it are ranked.
     """
     labelled = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(training.languages).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each label, as the network has an output for each
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((0, training.window), np.uint8), np.zeros(0, np.int64)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * training.docs_per_language + 100) / r["count"])))])
+    each = max(1, min(training.docs_per_language, training.docs // len(languages)))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * each + 100) / r["count"])))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     near = labelled.withColumn("place", place).where(F.col("place") <= F.try_element_at(share, F.col("lang")))
     length, most = training.window, training.windows_per_doc
@@ -197,7 +199,7 @@ def training_windows(docs: DataFrame, training: Training = Training(), doc_id: s
     windows = annotate(near, start, [("windows", T.ArrayType(T.BinaryType()))], keep=["lang", "place", "id"], text="text")
     # Ranked after the texts have shrunk to their windows.
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", F.xxhash64("windows")))
-    rows = windows.withColumn("rank", rank).where(F.col("rank") <= training.docs_per_language).select("lang", "rank", "windows").collect()
+    rows = windows.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "rank", "windows").collect()
     rows.sort(key=lambda r: (r["lang"], r["rank"]))
     x = np.frombuffer(b"".join(bytes(w) for r in rows for w in r["windows"]), np.uint8).reshape(-1, length)
     y = np.array([languages.index(r["lang"]) for r in rows for _ in r["windows"]], np.int64)
