@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, lm, minhash, mixing, quality, secrets, urls, warc
+from . import bpe, fingerprint, langid, lm, merkle, minhash, mixing, quality, secrets, urls, warc
 from .common import table
 
 
@@ -55,8 +55,12 @@ def op10_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, archive).drop("url")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive, op11_merkle_manifest)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.
@@ -150,5 +154,46 @@ SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN again
 """
 
 
+#: CRC-32 of the text of {text}, by its bits.
+CRC_SQL = """xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT)),
+  lambda c, b: list_reduce([CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295)"""
+
+MERKLE_SQL = (
+    r"""
+WITH RECURSIVE crc AS (SELECT doc_id, """
+    + CRC_SQL.format(text="CAST(doc_id AS VARCHAR)")
+    + r""" AS h FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+fields AS (
+  SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS f, text,
+         CASE WHEN doc_id IN (SELECT doc_id FROM crc WHERE h % 3 = 0) THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(array_to_string(list_transform(list_append(f, text), lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS leaf,
+         sha256(array_to_string(list_transform(list_append(f, changed), lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS start FROM fields),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+levels(tree, level, pos, n, digest) AS (
+  SELECT tree, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM levels WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+subroots AS (SELECT tree, digest FROM levels WHERE n = 1),
+above(tree, level, pos, n, digest) AS (
+  SELECT CAST(-1 AS BIGINT), 0, tree, (SELECT count(*) FROM subroots), digest FROM subroots
+  UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+runs AS (SELECT tree, level, pos // 8 AS parent, list(digest ORDER BY pos) AS run FROM (FROM levels UNION ALL FROM above) WHERE n > 1 GROUP BY ALL),
+trees AS (SELECT count(*) AS n FROM subroots),
+climb(doc_id, leaf, own, tree, level, pos, n, siblings, folded) AS (
+  SELECT doc_id, leaf, tree, CASE WHEN l.n = 1 THEN -1 ELSE tree END, 0, CASE WHEN l.n = 1 THEN tree ELSE pos END, CASE WHEN l.n = 1 THEN t.n ELSE l.n END, '', start FROM leaves l, trees t
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.own, CASE WHEN c.n <= 8 THEN -1 ELSE c.tree END, CASE WHEN c.n <= 8 AND c.tree >= 0 THEN 0 ELSE c.level + 1 END,
+         CASE WHEN c.n <= 8 AND c.tree >= 0 THEN c.tree ELSE c.pos // 8 END, CASE WHEN c.n <= 8 AND c.tree >= 0 THEN t.n ELSE (c.n + 7) // 8 END,
+         c.siblings || array_to_string(r.run[:c.pos % 8], '') || array_to_string(r.run[c.pos % 8 + 2:], ''),
+         sha256(array_to_string(r.run[:c.pos % 8], '') || c.folded || array_to_string(r.run[c.pos % 8 + 2:], ''))
+  FROM climb c JOIN runs r ON r.tree = c.tree AND r.level = c.level AND r.parent = c.pos // 8, trees t WHERE c.n > 1),
+root AS (SELECT digest FROM above WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM climb c JOIN subroots s ON s.tree = c.own, root r WHERE c.tree = -1 AND c.n = 1
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL}
+    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL, "op11_merkle_manifest": MERKLE_SQL}
