@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, lm, merkle, minhash, mixing, quality, secrets, urls, warc
+from . import bpe, decontaminate, fingerprint, langid, lm, merkle, minhash, mixing, quality, secrets, urls, warc
 from .common import table
 
 
@@ -59,8 +59,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive, op11_merkle_manifest, op13_wu_manber)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.
@@ -195,5 +201,19 @@ FROM climb c JOIN subroots s ON s.tree = c.own, root r WHERE c.tree = -1 AND c.n
 )
 
 
+LEAK_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS window_ FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT m FROM windows),
+seen AS (SELECT row_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS window_ FROM (SELECT row_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lengths)),
+found AS (SELECT row_id, item_id, s.m, i FROM seen s JOIN windows p ON s.m = p.m AND s.window_ = p.window_),
+hits AS (SELECT row_id, count(DISTINCT place) AS n_hit FROM (SELECT row_id, unnest(range(i, i + m)) AS place FROM found) GROUP BY row_id),
+named AS (SELECT row_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_wu_manber": LEAK_SQL}
