@@ -9,7 +9,7 @@ Levels are built from below, each an eighth of the one before, and stored as
 node rows: a node, its parent, its place among the parent's children, and the
 digests of its own children. A recursive query then climbs from every leaf: it
 appends the siblings that it meets and folds its hash, tampered or not, up to
-the root.
+the root. The leaves of a run climb in one row.
 
 Positions come from a range sort that is stored with its ranges, so no language
 is one task: counts of (range, language) carry numbers over. Digests are kept
@@ -40,15 +40,14 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = -1
 
 CLIMB = """
-WITH RECURSIVE climb (doc_id, leaf, up_tree, up_at, slot, subroot, siblings, folded) AS (
-  SELECT doc_id, leaf, up_tree, up_at, slot, subroot, X'', coalesce(tampered, leaf) FROM {leaves}
+WITH RECURSIVE climb (tree, pos, up_tree, up_at, slot, subroot, siblings, folded) AS (
+  SELECT tree, pos, up_tree, up_at, slot, subroot, X'', folded FROM {runs}
   UNION ALL
-  SELECT c.doc_id, c.leaf, n.up_tree, n.up_at, n.slot, CASE WHEN n.is_subroot THEN n.digest ELSE c.subroot END,
+  SELECT c.tree, c.pos, n.up_tree, n.up_at, n.slot, CASE WHEN n.is_subroot THEN n.digest ELSE c.subroot END,
          concat(c.siblings, substring(n.children, 1, 32 * c.slot), substring(n.children, 32 * c.slot + 33)),
-         unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.slot), c.folded, substring(n.children, 32 * c.slot + 33)))), 256))
+         transform(c.folded, f -> unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.slot), f, substring(n.children, 32 * c.slot + 33)))), 256)))
   FROM climb c JOIN {nodes} n ON n.tree = c.up_tree AND n.at = c.up_at)
-SELECT doc_id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, sha2(lower(hex(siblings)), 256) AS proof_sha256, lower(hex(folded)) AS folded_root
-FROM climb WHERE up_at IS NULL
+SELECT tree, pos, subroot, siblings, folded FROM climb WHERE up_at IS NULL
 """
 
 
@@ -110,9 +109,21 @@ def up(tree: Column, level: int, pos: Column, n: Column, trees: int) -> dict[str
     }
 
 
-def build_levels(nodes: DataFrame, most: int, trees: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Stored levels above the given nodes (tree, pos, n, digest), and the last ones of the trees; `most` is the size of the largest tree."""
-    levels, tops, level = [], [], 0
+def first_level(placed: DataFrame) -> DataFrame:
+    """The runs of eight leaves: their rows, n (nodes of the tree on this level), digest, link, and the leaves' own hashes folded once. A lone leaf is its tree's only node."""
+    leaf = F.struct(F.pmod("pos", F.lit(FAN)).alias("slot"), "doc_id", "leaf", "tampered")
+    runs = placed.groupBy("tree", F.shiftright("pos", 3).alias("pos")).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"), F.max("n").alias("n"))
+    rows = runs.withColumn("children", F.aggregate("leaves", F.lit(b""), lambda t, x: F.concat(t, x["leaf"])))
+    own = lambda x: F.coalesce(x["tampered"], x["leaf"])
+    folded = F.transform("leaves", lambda x: hash_children(F.concat(F.substring(F.col("children"), F.lit(1), F.lit(32) * x["slot"]), own(x), F.substring(F.col("children"), F.lit(32) * x["slot"] + 33, F.lit(32 * FAN)))))
+    lone = F.col("n") == 1
+    rows = rows.withColumns({"digest": F.when(lone, F.col("children")).otherwise(hash_children(F.col("children"))), "folded": F.when(lone, F.transform("leaves", own)).otherwise(folded)})
+    return rows.withColumn("n", F.ceil(F.col("n") / FAN).cast("long"))
+
+
+def build_levels(nodes: DataFrame, level: int, most: int, trees: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stored levels above the given nodes (tree, pos, n, digest) on `level`, and the last nodes of the trees; `most` is the size of the largest tree."""
+    levels, tops = [], []
     while most > 1:
         tops.append(nodes.where("n = 1"))
         runs = nodes.where("n > 1").groupBy("tree", F.shiftright("pos", 3).alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.pmod("pos", F.lit(FAN)).alias("slot"), "digest"))).alias("run"), F.max("n").alias("n"))
@@ -135,7 +146,7 @@ def together(frames: list[DataFrame], columns: list[str]) -> DataFrame:
 
 @contextmanager
 def recursion_without_limit(spark: SparkSession) -> Iterator[None]:
-    """A recursive query has a row for every leaf and level; the session's own limit comes back afterwards."""
+    """A recursive query has a row for every run of leaves and level; the session's own limit comes back afterwards."""
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
@@ -145,34 +156,43 @@ def recursion_without_limit(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def build_tree(docs: DataFrame) -> tuple[DataFrame, DataFrame, str | None]:
-    """Leaves and nodes with their links to parents, and the root's hex digest (None for an empty table)."""
+def build_tree(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, str | None]:
+    """Runs of leaves, nodes above them (None where there are none) with their links to parents, and the root's hex digest (None for an empty table)."""
     placed = place_leaves(docs)
     size = placed.agg(F.max("n").alias("most"), F.max("tree").alias("last")).first()
     if size["most"] is None:
-        return placed, placed, None
-    trees = size["last"] + 1
-    base = placed.select("tree", "pos", "n", F.col("leaf").alias("digest"))
-    levels, tops = build_levels(base, size["most"], trees)
+        return placed, None, None
+    trees, most = size["last"] + 1, -(-size["most"] // FAN)
+    runs = first_level(placed)
+    runs = written(runs.withColumns({**up(F.col("tree"), 1, F.col("pos"), F.col("n"), trees), "subroot": F.when(F.col("n") == 1, F.col("digest"))}), "merkle-runs")
+    levels, tops = build_levels(runs, 1, most, trees)
     subroots = written(together(tops, ["tree", "digest"]), "merkle-subroots")
-    above, last = build_levels(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(trees).cast("long").alias("n"), "digest"), trees, trees)
+    above, last = build_levels(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(trees).cast("long").alias("n"), "digest"), 0, trees, trees)
     root = together(last, ["digest"]).select(F.lower(F.hex("digest")).alias("root")).first()["root"]
-    leaves = placed.withColumns(up(F.col("tree"), 0, F.col("pos"), F.col("n"), trees)).withColumn("subroot", F.when(F.col("n") == 1, F.col("leaf")))
-    columns = ["tree", "at", "up_tree", "up_at", "slot", "children", "digest"]
-    stored = [f.select(*columns, F.expr(f"tree <> {TOP} AND n = 1").alias("is_subroot")) for f in [*levels, *above]]
-    if not stored:
-        empty = leaves.select("tree", F.lit(0).cast("long").alias("at"), "up_tree", "up_at", "slot", F.col("leaf").alias("children"), F.col("leaf").alias("digest"), F.lit(False).alias("is_subroot"))
-        return leaves, empty.where("false"), root
-    return leaves, together(stored, [*columns, "is_subroot"]), root
+    stored = [f.withColumn("is_subroot", F.expr(f"tree <> {TOP} AND n = 1")) for f in [*levels, *above]]
+    return runs, together(stored, ["tree", "at", "up_tree", "up_at", "slot", "children", "digest", "is_subroot"]) if stored else None, root
 
 
 def prove(docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each row."""
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each row.
+
+    The leaves of a run meet the same siblings from there on, so they climb in
+    one row: the siblings once, and a folded hash of each leaf.
+    """
     spark = docs.sparkSession
-    leaves, nodes, root = build_tree(docs)
+    runs, nodes, root = build_tree(docs)
     if root is None:
-        empty = leaves.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")])
+        empty = runs.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")])
         return empty.where("false").withColumn("verified", F.lit(False))
-    with recursion_without_limit(spark):
-        climbed = written(spark.sql(CLIMB, leaves=leaves.select("doc_id", "leaf", "tampered", "up_tree", "up_at", "slot", "subroot"), nodes=nodes), "merkle-proofs")
-    return climbed.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
+    base = runs.select("tree", "pos", "up_tree", "up_at", "slot", "subroot", "folded")
+    if nodes is None:
+        climbed = base.withColumn("siblings", F.lit(b""))
+    else:
+        with recursion_without_limit(spark):
+            climbed = written(spark.sql(CLIMB, runs=base, nodes=nodes), "merkle-proofs")
+    joined = runs.select("tree", "pos", "leaves", "children").join(climbed.select("tree", "pos", "subroot", "siblings", "folded"), ["tree", "pos"])
+    each = joined.select("subroot", "siblings", "children", F.explode(F.arrays_zip("leaves", "folded")).alias("x")).select("*", "x.leaves.*", F.col("x.folded").alias("own"))
+    others = F.concat(F.substring(F.col("children"), F.lit(1), 32 * F.col("slot")), F.substring(F.col("children"), 32 * F.col("slot") + 33, F.lit(32 * FAN)), F.col("siblings"))
+    text = lambda c: F.lower(F.hex(c))
+    found = each.select("doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), F.lit(root).alias("root"), F.sha2(text(others).cast("binary"), 256).alias("proof_sha256"), text("own").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == root)
