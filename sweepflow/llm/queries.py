@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, lm, merkle, minhash, mixing, quality, secrets, urls, warc
+from . import bpe, decontaminate, fingerprint, langid, lm, merkle, minhash, mixing, quality, secrets, trie, urls, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -66,7 +70,7 @@ def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive, op11_merkle_manifest, op13_wu_manber)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_circulant_minhash, op3_multiset_fingerprint, op4_attention_score, op5_url_filter, op6_bpe_lexicon, op7_language_id, op8_fair_mix, op9_host_quality, op10_content_archive, op11_merkle_manifest, op12_prefix_trie, op13_wu_manber)}
 
 
 #: Sizes of documents and the mix: the same order, running sums over all rows.
@@ -201,6 +205,31 @@ FROM climb c JOIN subroots s ON s.tree = c.own, root r WHERE c.tree = -1 AND c.n
 )
 
 
+TRIE_SQL = (
+    r"""
+WITH crc AS (SELECT conv_id, """
+    + CRC_SQL.format(text="CAST(conv_id AS VARCHAR)")
+    + r""" AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars,
+         md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS token FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list({'token': token, 'chars': chars} ORDER BY turn NULLS FIRST, role, token) AS t FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT l.conv_id, list_concat(coalesce(b.t, [])[:h % 6], l.t[h % 6 + 1:]) AS t
+  FROM lists l JOIN crc USING (conv_id) LEFT JOIN lists b ON b.conv_id = l.conv_id - l.conv_id % 100),
+prefixes AS (SELECT conv_id, d, len(t) = d AS ends, list_transform(t[:d], lambda x: x.token) AS p, coalesce(t[d].chars, 0) AS chars FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p),
+children AS (SELECT p[:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+sized AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.p = c.p),
+above AS (SELECT p[:k] AS p, saved, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM sized)),
+sums AS (SELECT p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM sized n JOIN sums s ON n.p = s.p LEFT JOIN nodes u ON n.d > 0 AND u.p = n.p[:n.d - 1]
+"""
+)
+
 LEAK_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -216,4 +245,4 @@ FROM d LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_wu_manber": LEAK_SQL}
+    return {"op2_circulant_minhash": NEAR_SQL, "op8_fair_mix": MIX_SQL, "op9_host_quality": QUALITY_SQL, "op10_content_archive": ARCHIVE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_prefix_trie": TRIE_SQL, "op13_wu_manber": LEAK_SQL}
