@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..jobs.storage import checkpoint_dir
-from .common import join_salted
+from .common import join_heavy, join_salted, written
 
 #: Fixed values.
 REVISIT_LEAST = 1000
@@ -85,9 +85,11 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     found = digests(pages, page_id, url, html)
     # First within tasks, then over all: copies don't travel.
     found.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(archive.payloads)
-    small = found.drop("payload")
-    owners = small.groupBy("digest").agg(F.max("page_id").alias("owner"))
-    marked = small.join(owners, "digest")
+    # Only long payloads have owners; the others, of which very many may be equal, meet nobody.
+    small = written(found.drop("payload"), "warc-digests")
+    long = small.where(F.col("payload_bytes") >= least)
+    owners = long.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("__n"))
+    marked = join_heavy(long, owners, "digest").unionByName(small.where(F.col("payload_bytes") < least).withColumn("owner", F.lit(None).cast("long")))
     kind = F.when((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("owner")), F.lit("revisit")).otherwise(F.lit("response"))
     marked.select("page_id", "digest", header_block(kind).alias("header")).write.option("compression", "zstd").parquet(archive.headers)
     return archive
@@ -101,11 +103,13 @@ def read_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
 
 
 def header_field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)$", 1), F.lit(""))
+    """The value of the first header line with that name. Lines end in CR LF and nothing else, whatever else a url may hold."""
+    lines = F.split("header", CRLF)
+    return F.nullif(F.substring(F.get(F.filter(lines, lambda x: x.startswith(f"{name}: ")), F.lit(0)), len(name) + 3, 1 << 30), F.lit(""))
 
 
 def page_of(name: str) -> Column:
-    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: <urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(header_field(name), r"^<urn:page:(-?[0-9]+)>\z", 1), F.lit("")).cast("long")
 
 
 def rebuild(spark: SparkSession, archive: Archive) -> DataFrame:
