@@ -40,6 +40,15 @@ def others(df: DataFrame, taken: list[str], keep: list[str] | None) -> list[str]
     return [c for c in (df.columns if keep is None else keep) if c.lower() not in low]
 
 
+def aside(carried: list[str]) -> list[Column]:
+    """A table's columns under names that no operator uses, so that none of theirs can clash; back() undoes it."""
+    return [F.col(f"`{c}`").alias(f"carried {i}") for i, c in enumerate(carried)]
+
+
+def back(carried: list[str]) -> list[Column]:
+    return [F.col(f"`carried {i}`").alias(c) for i, c in enumerate(carried)]
+
+
 def annotate(df: DataFrame, start: Callable[[], Callable[[list], dict[str, list]]], fields: list[tuple[str, T.DataType]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds columns that are computed from a text column, batch by batch.
 
@@ -51,8 +60,8 @@ def annotate(df: DataFrame, start: Callable[[], Callable[[list], dict[str, list]
     small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     carried = others(df, names, keep)
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in carried] + [T.StructField(n, t) for n, t in fields])
+    source = df.select(*aside(carried), F.col(f"`{text}`").alias("given"))
+    schema = T.StructType(source.schema.fields[:-1] + [T.StructField(n, t) for n, t in fields])
     arrow = to_arrow_schema(schema)
     n_carried = len(carried)
 
@@ -66,4 +75,4 @@ def annotate(df: DataFrame, start: Callable[[], Callable[[list], dict[str, list]
             columns += [pa.array(out[n], type=arrow.field(n_carried + i).type) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back(carried), *[F.col(f"`{n}`") for n in names])

@@ -18,8 +18,9 @@ begin anew with each paragraph, so both vectors are sums over paragraphs.
 Null text counts as empty: no paragraphs. Two empty fingerprints have likeness
 1, an empty one and another have 0. Texts of any length are handled row by row:
 a text has less than 2^30 pieces, so lanes don't run over. Columns but id and
-text are not read by compare_edits, so their names can't clash; columns of
-fingerprints() that begin with `__own` or are called `fingerprint` give way.
+text are not read by compare_edits, so their names can't clash; a column
+`fingerprint` gives way to the result of fingerprints(). Rows of an id that very
+many rows have, null among them, are dealt out over several keys of the joins.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import aside, back, join_heavy, others, written
 
+#: Ids with more than one in so many of the rows are split.
+PARTS = 1000
 #: Parameters of the hash; fingerprints made with different ones can't be compared.
 WIDE, PIECE, WORDS, SHIFTS, BITS = 8, 80, 2, 30, 30
 LANES = WORDS * SHIFTS * 2
@@ -87,10 +90,9 @@ def likeness(n: Column, sums: Column, other_n: Column, other_sums: Column) -> Co
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the column `fingerprint` to the documents."""
-    own = ["__own_n", "__own_wide", "__own_pieces", "__own_sums"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("fingerprint", "__text", *own)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    found = with_fingerprint(rows, "__text", "__own")
-    return found.withColumn("fingerprint", as_text(F.col("__own_n"), F.col("__own_wide"))).drop("__text", *own)
+    carried = others(docs, ["fingerprint"], None)
+    rows = docs.select(*aside(carried), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return with_fingerprint(rows, "text", "own").select(*back(carried), as_text(F.col("own_n"), F.col("own_wide")).alias("fingerprint"))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -126,20 +128,27 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     sized = rows.select("id", F.char_length("text").cast("long").alias("chars"), F.xxhash64("text").alias("text_hash"))
-    ids = neighbours(sized.groupBy("id").agg(F.max("chars").alias("chars"), F.min("text_hash").alias("chosen")))
-    ids = written(ids, "neighbours")
-
-    # Joins and aggregates are on the same two columns, so what one has dealt out serves the next.
-    key = ["k", "no_k"]
+    counted = sized.groupBy("id").agg(F.max("chars").alias("chars"), F.min("text_hash").alias("chosen"), F.count(F.lit(1)).alias("rows"))
+    ids = written(neighbours(counted), "neighbours")
+    total = ids.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    # An id that more than one in PARTS of the rows have, null among them, has a key for each of its parts; there are less than PARTS of them.
+    copies = F.greatest(F.lit(1), F.ceil(F.col("rows") * PARTS / F.lit(max(total, 1)))).cast("int")
     keyed = lambda df, c: df.withColumns({"k": F.coalesce(c, F.lit(0).cast("long")), "no_k": F.col(c).isNull()})
+    hot = F.broadcast(keyed(ids.where(copies > 1), "id").select("k", "no_k", copies.alias("copies")))
+    some = F.coalesce("copies", F.lit(1))
+    dealt = lambda df: df.join(hot, ["k", "no_k"], "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), some).cast("int")).drop("copies")
+    copied = lambda df: df.join(hot, ["k", "no_k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), some - 1))).drop("copies")
+
+    # Joins and aggregates are on the same columns, so what one has dealt out serves the next.
+    key = ["k", "no_k", "part"]
     # Both uses of the texts' shuffle read the same columns of it, or else it would be made twice: the id comes back from its key.
-    placed = keyed(rows, "id").drop("id").join(keyed(ids, "id").drop("id"), key)
+    placed = dealt(keyed(rows, "id").drop("id")).join(copied(keyed(ids, "id").drop("id", "rows")), key)
     # `chosen` is the smallest hash of the id's texts. As an inequality the test stays a filter; as an equality it would
     # become another join key, and the texts would be shuffled twice.
     chosen = F.xxhash64("text") <= F.col("chosen")
-    # Of a next document only what its neighbour may need goes on.
+    # Of a next document only what its neighbour may need goes on, once.
     heads = keyed(placed.where(chosen).select("prev_id", F.expr("substring(text, 1, cast(prev_chars div 3 as int))").alias("head")), "prev_id")
-    heads = heads.select(*key, "head").dropDuplicates(key)
+    heads = copied(heads.select("k", "no_k", "head").dropDuplicates(["k", "no_k"]))
     edited = placed.join(heads, key).select(F.when(~F.col("no_k"), F.col("k")).alias("id"), "next_id", chosen.alias("is_chosen"), "text", "head")
     edited = edited.withColumn("n_chars", F.char_length("text").cast("long"))
     third = "cast(n_chars div 3 as int)"
@@ -148,8 +157,10 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = with_fingerprint(with_fingerprint(edited, "text", "own").drop("text"), "edited", "new").drop("edited")
     found = written(found, "fingerprints")
 
-    other = keyed(found.where("is_chosen"), "id").select(*key, F.col("own_pieces").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(key)
-    joined = keyed(found, "next_id").join(other, key)
+    whole = lambda df, c: keyed(df, c).withColumn("whole", F.struct("k", "no_k")).drop("k", "no_k")
+    other = whole(found.where("is_chosen"), "id").select("whole", F.col("own_pieces").alias("next_n"), F.col("own_sums").alias("next_sums")).dropDuplicates(["whole"])
+    following = whole(ids.groupBy("next_id").agg(F.sum("rows").alias("__n")), "next_id").select("whole", "__n")
+    joined = join_heavy(whole(found, "next_id"), other.join(following, "whole"), "whole", PARTS, total=total)
     own, new = (F.col("own_pieces"), F.col("own_sums")), (F.col("new_pieces"), F.col("new_sums"))
     return joined.select(
         F.col("id").alias(doc_id),

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import annotate, join_heavy, small_batches, written
+from .common import annotate, aside, back, join_heavy, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -307,7 +307,8 @@ def deduplicate(docs: DataFrame, near: Near = Near(words=5, percent=80, bands=50
     All columns stay. With 50 bands of 5 rows, a pair exactly at similarity 0.8
     shares no bucket with a chance of 2e-9.
     """
-    kept = components_of(docs, near, doc_id, text).where("kept").select(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__k"), F.col("doc_id").isNull().alias("__no_k")).distinct()
-    rows = docs.withColumns({"__k": F.coalesce(F.col(f"`{doc_id}`"), F.lit(0).cast("long")), "__no_k": F.col(f"`{doc_id}`").isNull(), "__hash": F.xxhash64(F.col(f"`{text}`")), "__null": F.col(f"`{text}`").isNull()})
+    key, no_key = F.coalesce(F.col(f"`{doc_id}`"), F.lit(0).cast("long")), F.col(f"`{doc_id}`").isNull()
+    kept = components_of(docs, near, doc_id, text).where("kept").select(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("key"), F.col("doc_id").isNull().alias("no_key")).distinct()
+    rows = docs.select(*aside(docs.columns), key.alias("key"), no_key.alias("no_key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").isNull().alias("no_text"))
     # The join has dealt the rows out by id, which serves the second step too.
-    return rows.join(kept, ["__k", "__no_k"], "left_semi").dropDuplicates(["__k", "__no_k", "__hash", "__null"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, ["key", "no_key"], "left_semi").dropDuplicates(["key", "no_key", "hash", "no_text"]).select(*back(docs.columns))

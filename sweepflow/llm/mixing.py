@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import word_array, written
+from .common import aside, back, word_array, written
 
 #: Weights, repeated over the sources in order, and how often a document may be taken.
 WEIGHTS = (5, 2, 1)
@@ -117,8 +117,8 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     for all and comes as often as they do together.
     """
     key = F.concat_ws(":", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.xxhash64(F.col(f"`{text}`")).cast("string"))
-    keyed = docs.withColumn("__key", key)
-    mixed = mix(keyed, doc_id="__key", text=text, source=source, **options)
-    times = mixed.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").cast("int").alias("__times")).where("__times > 0")
-    rows = keyed.join(times, "__key").dropDuplicates(["__key"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(*aside(docs.columns), key.alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
+    mixed = mix(keyed, doc_id="key", **options)
+    times = mixed.groupBy(F.col("doc_id").alias("key")).agg(F.sum("times").cast("int").alias("times")).where("times > 0")
+    rows = keyed.drop("text", "source").join(times, "key").dropDuplicates(["key"])
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*back(docs.columns))

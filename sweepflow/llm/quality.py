@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, join_heavy, others, written
+from .common import annotate, aside, back, join_heavy, others, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -115,12 +115,13 @@ def host_verdicts(counted: DataFrame, host: str, limits: Limits = Limits()) -> D
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
     """Adds the counts, base_failed, host_rate and kept to each document; the counts are made once, in a stored table that both uses read."""
-    carried = others(docs, [*COUNTS, "n_lines", "base_failed", "host_rate", "kept", "__host", "__soft"], keep)
+    carried = others(docs, [*COUNTS, "base_failed", "host_rate", "kept"], keep)
+    held = [f"carried {i}" for i in range(len(carried))]
     # A null host has a key as well.
     key = F.when(F.col(f"`{host}`").isNull(), "null").otherwise(F.concat(F.lit("host "), F.col(f"`{host}`").cast("string")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__words"), key.alias("__host"))
-    counted = count_rules(rows, "__words", [*carried, "__host"])
-    counted = written(counted.withColumn("base_failed", base_failed()).withColumn("__soft", soft_failures(limits) > 0), "quality")
-    hosts = written(host_verdicts(counted, "__host", limits), "hosts").select(F.col("host").alias("__host"), "host_rate", F.col("host_rejected").alias("__rejected"), F.col("n_docs").alias("__n"))
-    kept = ~F.col("base_failed") & ~(F.col("__soft") & F.col("__rejected"))
-    return join_heavy(counted, hosts, "__host").withColumn("kept", kept).select(*[F.col(f"`{c}`") for c in carried], *COUNTS, "base_failed", "host_rate", "kept")
+    rows = docs.select(*aside(carried), F.col(f"`{text}`").alias("words"), key.alias("host"))
+    counted = count_rules(rows, "words", [*held, "host"])
+    counted = written(counted.withColumn("base_failed", base_failed()).withColumn("soft", soft_failures(limits) > 0), "quality")
+    hosts = written(host_verdicts(counted, "host", limits), "hosts").select("host", "host_rate", "host_rejected", F.col("n_docs").alias("__n"))
+    kept = ~F.col("base_failed") & ~(F.col("soft") & F.col("host_rejected"))
+    return join_heavy(counted, hosts, "host").withColumn("kept", kept).select(*back(carried), *COUNTS, "base_failed", "host_rate", "kept")

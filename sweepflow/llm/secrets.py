@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, written
+from .common import annotate, aside, back, written
 
 #: The base patterns in the order in which kinds are listed, with the least length of what counts.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -226,7 +226,8 @@ def mask_secrets(docs: DataFrame, text: str = "text", novelty: Novelty = Novelty
                 end = max(end, e)
             return "".join([*parts, value[end:]])
 
-        return lambda texts: {"__masked": [mask(t) for t in texts]}
+        return lambda texts: {"masked": [mask(t) for t in texts]}
 
-    masked = annotate(docs, start, [("__masked", T.StringType())], text)
-    return masked.withColumn(text, F.col("__masked")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = docs.columns
+    masked = annotate(docs.select(*aside(columns), F.col(f"`{text}`").alias("text")), start, [("masked", T.StringType())], "text", [f"carried {i}" for i in range(len(columns))])
+    return masked.select(*[F.col("masked").alias(c) if c == text else x for c, x in zip(columns, back(columns))])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, join_heavy, others, written
+from .common import annotate, aside, back, join_heavy, others, written
 
 #: The rules of the query, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -113,17 +113,29 @@ def name_runs(column: Column) -> Column:
     return F.filter(F.split(column, "[^a-z]+"), lambda w: w != "")
 
 
+def text_key(text: Column) -> Column:
+    """A short key of a text: two hashes of 64 bits and its length."""
+    return F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.reverse(text))), F.length(text).cast("string"))
+
+
 def split_names(names: DataFrame, lexicon: DataFrame, options: Filter) -> DataFrame:
-    """Adds `words` to distinct names. All runs within a name meet the lexicon: the short ones, whose number the alphabet bounds, by a broadcast."""
-    short = 3
+    """Adds `words` to stored distinct names. All runs within a name meet the lexicon: the short ones, whose number the alphabet bounds, by a broadcast.
+
+    Runs carry their name's hash and length, not the name, and are taken from
+    stretches of it that overlap by a word, so that a name of n letters makes
+    no more than a multiple of n bytes.
+    """
+    short, stretch = 3, 1024
+    names = names.withColumn("key", text_key(F.col("name")))
+    parts = names.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name")), F.lit(stretch)), lambda at: F.substring(F.col("name"), at, F.lit(stretch + options.longest_word - 1)))).alias("part"))
     total = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")).select("name", F.substring(F.col("name"), F.col("at"), F.lit(options.longest_word)).alias("rest"))
-    runs = starts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring(F.col("rest"), F.lit(1), k))).alias("word")).distinct()
+    starts = parts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda at: F.substring(F.col("part"), at, F.lit(options.longest_word)))).alias("rest"))
+    runs = starts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring(F.col("rest"), F.lit(1), k))).alias("word")).distinct()
     long = F.length("word") > short
     # At most 26 + 26^2 + 26^3 words are short.
     met = runs.where(~long).join(F.broadcast(lexicon.where(~long)), "word").unionByName(runs.where(long).join(lexicon.where(long), "word"))
-    known = met.groupBy("name").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))  # as many as a name has runs, at most
-    given = names.join(known, "name", "left").withColumn("given", F.struct("name", "known"))
+    known = met.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))  # as many as a name has runs, at most
+    given = names.join(known, "key", "left").withColumn("given", F.struct("name", "known"))
 
     def start():
         return lambda rows: {"words": [segment(r["name"], dict(r["known"] or ()), total, options) for r in rows]}
@@ -136,10 +148,13 @@ def judge(pages: DataFrame, options: Filter = Filter(), url: str = "url", html:
     host, path = url_parts(F.col(f"`{url}`"))
     carried = others(pages, ["host", "path", "rule", "verdict", "score"], keep)
     # What the model sees of a url: its names, the host's without the last label.
-    names = F.concat_ws("\n", F.array_join(name_runs(F.regexp_replace(host, r"\.?[^.]*$", "")), " "), F.array_join(name_runs(F.lower(path)), " "))
-    rows = written(pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("host"), path.alias("path"), names.alias("__unit")), "urls")
-    units = written(rows.groupBy(F.col("__unit").alias("unit")).agg(F.count(F.lit(1)).alias("n")), "url-units")
-    sides = units.select("unit", "n", F.posexplode(F.split("unit", "\n")).alias("side", "part"))
+    names = F.concat_ws("\n", F.array_join(name_runs(F.left(host, F.greatest(F.lit(0), F.length(host) - F.length(F.substring_index(host, ".", -1)) - 1))), " "), F.array_join(name_runs(F.lower(path)), " "))
+    rows = written(pages.select(*aside(carried), host.alias("host"), path.alias("path"), names.alias("names")).withColumn("unit", text_key(F.col("names"))), "urls")
+    # Tables of words and scores have a key in place of a url's names, which may be long.
+    whole = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("names").alias("names"))
+    rows, whole = rows.drop("names"), written(whole, "url-units")
+    units = whole.drop("names")
+    sides = whole.select("unit", "n", F.posexplode(F.split("names", "\n")).alias("side", "part"))
     used = sides.select("unit", "n", "side", F.explode(F.filter(F.split("part", " "), lambda w: w != "")).alias("name"))
     distinct = used.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     split = written(split_names(written(distinct, "url-names"), written(page_words(pages, options, html), "url-lexicon"), options), "url-words")
@@ -158,9 +173,9 @@ def judge(pages: DataFrame, options: Filter = Filter(), url: str = "url", html:
     weight = F.log((F.col("block") + 1) / F.lit(float(sums["block"] + sums["kinds"] + 1))) - F.log((F.col("allow") + 1) / F.lit(float(sums["allow"] + sums["kinds"] + 1)))
     start = math.log((prior["block"] + 1) / (prior["every"] - prior["block"] + 1))
     sums = join_heavy(words.select("unit", feature), counts.select("feature", weight.alias("weight"), "__n"), "feature").groupBy("unit").agg(F.sum("weight").alias("sum"))
-    scores = units.join(sums, "unit", "left").select(F.col("unit").alias("__unit"), F.col("n").alias("__n"), (F.coalesce("sum", F.lit(0.0)) + start).alias("score"))
-    scored = join_heavy(rows, written(scores, "url-scores"), "__unit").drop("__unit")
+    scores = units.join(sums, "unit", "left").select("unit", F.col("n").alias("__n"), (F.coalesce("sum", F.lit(0.0)) + start).alias("score"))
+    scored = join_heavy(rows, written(scores, "url-scores"), "unit").drop("unit")
     rule, verdict = rule_of(F.col("host"), F.col("path"), options.rules)
     # Without a host there is nothing that the model could hold against a url.
     method = F.when((F.col("score") > 0) & (F.col("host") != ""), "block").otherwise("allow")
-    return scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method))
+    return scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).select(*back(carried), "host", "path", "score", "rule", "verdict")
