@@ -115,7 +115,7 @@ def host_verdicts(counted: DataFrame, host: str, limits: Limits = Limits()) -> D
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
     """Adds the counts, base_failed, host_rate and kept to each document; the counts are made once, in a stored table that both uses read."""
-    carried = others(docs, [*COUNTS, "base_failed", "host_rate", "kept"], keep)
+    carried = others(docs, [*COUNTS, "n_lines", "base_failed", "host_rate", "kept"], keep)
     held = [f"carried {i}" for i in range(len(carried))]
     # A null host has a key as well.
     key = F.when(F.col(f"`{host}`").isNull(), "null").otherwise(F.concat(F.lit("host "), F.col(f"`{host}`").cast("string")))
