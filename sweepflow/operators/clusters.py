@@ -53,16 +53,23 @@ def column_azimuths(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "col").agg(F.min("continuous_azimuth").alias("min_azimuth"))
 
 
-def closing_columns(found: DataFrame, columns: DataFrame, keys: list[str], num_columns: int, look: int = 3) -> DataFrame:
+def closing_columns(found: DataFrame, columns: DataFrame, keys: list[str], num_columns: int, look: int = 3, block_columns: int = 1024) -> DataFrame:
     """Adds closing_column, the first column whose smallest azimuth is not below a cluster's finish_azimuth; null while it is open.
 
-    The columns of an image have no gaps, so that column is among the few from
-    the one on in which the angle lies: an equi-join finds it.
+    A point lies in the column of its azimuth or in the one after it. So that
+    column is among the few from the one on in which the angle lies, which an
+    equi-join finds, or else, where these are absent or too early, the next one
+    that there is, which a scan in blocks from the far end finds.
     """
     at = F.floor(F.col("finish_azimuth") / F.lit(TWO_PI / num_columns)).cast("long")
     asked = found.select(*keys, "cluster_id", "finish_azimuth", F.explode(F.array(*[at + k for k in range(-1, look)])).alias("col"))
     closed = asked.join(columns, [*keys, "col"]).where(F.col("min_azimuth") >= F.col("finish_azimuth")).groupBy(*keys, "cluster_id").agg(F.min("col").alias("closing_column"))
-    return found.join(closed, [*keys, "cluster_id"], "left")
+    near = found.join(closed, [*keys, "cluster_id"], "left")
+    beyond = near.where("closing_column IS NULL").select(*keys, "cluster_id", (at + look).alias("col"), F.lit(1).alias("__kind"))
+    there = columns.select(*keys, "col", F.lit(0).alias("__kind")).withColumn("cluster_id", F.lit(None).cast(dict(found.dtypes)["cluster_id"]))
+    both = there.unionByName(beyond).withColumns({"__back": -F.col("col"), "__value": F.when(F.col("__kind") == 0, F.col("col")), "__tie": F.coalesce(F.col("cluster_id"), F.lit(-1))})
+    after = running(both, keys, ["__back", "__kind", "__tie"], F.col("__value"), "last", "__after", F.floor(-F.col("col") / block_columns)).where("__kind = 1")
+    return near.join(after.select(*keys, "cluster_id", "__after"), [*keys, "cluster_id"], "left").withColumn("closing_column", F.coalesce("closing_column", "__after")).drop("__after")
 
 
 def number_closed(closed: DataFrame, keys: list[str], p: Clustering, block: Column) -> DataFrame:

@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Rounds of large-star and small-star: every node hands its larger neighbours,
     then its smaller ones, to the smallest one it knows. The minimum of a node
-    is a partial aggregate, so a hub is no hot key there, and the joins hold
-    nothing but pairs of keys. The number of rounds grows with the logarithm of
-    the longest path. Each round is stored in the checkpoint folder, which cuts
-    the lineage. Nulls and edges from a node to itself are left out; an empty
+    is a partial aggregate, and a hub's own joins are broadcasts of its minimum
+    (join_heavy), so a hub is no hot key; the joins hold nothing but pairs of
+    keys. The number of rounds grows with the logarithm of the longest path.
+    Each round is stored in the checkpoint folder, which cuts the lineage. Nulls and edges from a node to itself are left out; an empty
     table gives an empty result.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = join_heavy(both.where("v > u"), least, "u", total=marks[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpointed(large.where("u <> v").distinct())
         # Small star: smaller neighbours and the node itself to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        joined = large.join(least, F.col("u") == F.col("k"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
+        joined = join_heavy(large, least, "u", total=marks[0])
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = checkpointed(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         last, marks = marks, _marks(pairs)
         if marks == last:

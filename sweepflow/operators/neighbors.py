@@ -15,9 +15,11 @@ def squared_distance(a: str, b: str) -> Column:
     return d("x") * d("x") + d("y") * d("y") + d("z") * d("z")
 
 
-def column_pairs(points: DataFrame, max_distance: float, columns_back: int, rows_apart: int, keys: list[str] | None = None, field_of_view: float | None = None) -> DataFrame:
+def column_pairs(points: DataFrame, max_distance: float, columns_back: int, rows_apart: int, keys: list[str] | None = None, field_of_view: float | None = None, among: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of points nearer than max_distance, a the later one: b is at most columns_back columns before a, or above it in the same column.
 
+    With `among`, a table with the same columns, b is one of its points.
+
     Expects pid, col, row_index, x, y, z, and the columns in `keys`, within
     which points may be neighbours. With field_of_view, the width of a column in
     radians, the search is also bounded by the angle under which max_distance is
@@ -27,7 +29,7 @@ def column_pairs(points: DataFrame, max_distance: float, columns_back: int, rows
     """
     keys = keys or []
     a = points.withColumn("look", F.explode(F.array(*[F.col("col") - k for k in range(columns_back + 1)]))).alias("a")
-    b = points.alias("b")
+    b = (points if among is None else among).alias("b")
     on = F.col("a.look") == F.col("b.col")
     for k in keys:
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
