@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,8 +13,11 @@ from ..config import Config
 from ..functions import geometry as g
 from ..operators import clusters, evaluate, ground, motion, neighbors, poses, range_image, scans, sinks
 from ..sources.derived import COLUMNS, ROWS, events, points
+from ..sources import kitti
+from ..sources.ingest import firing_points
 from ..sources.messages import slice_topics
-from . import ground_truth
+from ..streaming.clusters import ClusterStream
+from . import ground_truth, storage
 
 #: Parameters of the derived stream's queries.
 DISTANCE, BACK, APART = 0.3, 3, 5
@@ -576,7 +580,188 @@ def cell_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_image.place_in_order(p, ["stream_id"], "row_index", "target_column", "pid", "dist", 512)
 
 
-FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, seam_rotations, firing_stamps, full_cells, frame_images, topic_slice, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, cluster_closing, released_columns, truth_clusters, detections_on_truth, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement]
+def stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived points as the input of a cluster stream of one sensor."""
+    az = F.col("az").alias("continuous_azimuth")
+    return points(spark, sf_dir).select(F.lit(0).cast("long").alias("stream_id"), "pid", F.col("col").alias("firing_index"), "col", "row_index", "x", "y", "z", "dist", az, "stamp_ns")
+
+
+def run_stream(spark: SparkSession, sf_dir: str, slices: int = 2, **options) -> ClusterStream:
+    """All points in micro-batches of as many columns each, through what foreachBatch calls."""
+    p = stream_points(spark, sf_dir)
+    most = p.agg(F.max("col").alias("n")).first()["n"]
+    stream = ClusterStream(spark, f"{storage.checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}", CLUSTERING, COLUMNS, BACK, APART, **options)
+    part = F.floor(F.col("col") * slices / F.lit((most or 0) + 1))
+    for k in range(slices):
+        stream.advance(p.where(part == k), k)
+    stream.advance(p.where("false"), slices, last=True)
+    return stream
+
+
+def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters that come out of a stream are those of the whole table."""
+    return run_stream(spark, sf_dir, force=False).clusters().select("cluster_id", "num_points", "min_column", "closing_column", "id")
+
+
+STREAM_CLUSTERS = CLUSTER_CLOSING
+
+
+def forced_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: where a component is cut depends on what was cut before. Clusters of 48 columns are cut."""
+    return run_stream(spark, sf_dir, most_columns=48).clusters().select("cluster_id", "num_points", "min_column", "max_column", "closing_column", "forced", "id")
+
+
+def nth_column_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing in every seventh column only."""
+    found = clusters.cluster_statistics(labelled(spark, sf_dir), CLUSTERING, COLUMNS).withColumn("sensor", F.lit(0))
+    columns = clusters.column_azimuths(points(spark, sf_dir).select(F.lit(0).alias("sensor"), "col", F.col("az").alias("continuous_azimuth")), ["sensor"])
+    return clusters.closing_columns(found, columns, ["sensor"], COLUMNS, every=7).select("cluster_id", "min_column", "closing_column")
+
+
+NTH_COLUMN_CLOSING = CLOSING.replace("min_azimuth >= finish GROUP", "min_azimuth >= finish AND col % 7 = 0 GROUP") + "SELECT cluster_id, min_column, closing_column FROM closed"
+
+
+def nested_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firings of sixteen points each, some of them without a stamp, some points without a return."""
+    p = points(spark, sf_dir)
+    seen = F.col("event_type") != "error"
+    number = lambda c: F.when(seen, F.col(c)).otherwise(F.lit(float("nan"))).alias(c)
+    point = F.struct(number("x"), number("y"), number("z"), (F.col("intensity") / 255).alias("intensity"))
+    one = p.groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("row_index", point))).alias("at"), F.min("stamp_ns").alias("first"))
+    array = F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), lambda i: F.try_element_at("at", i))
+    nested = one.select(F.lit(0).alias("sensor"), "col", array.alias("points"), F.when(F.col("col") % 10 == 3, 0).otherwise(F.col("first")).alias("stamp_ns"))
+    found = firing_points(nested, ["sensor"], "col", F.floor(F.col("col") / BLOCK))
+    return found.select("col", "firing_index", "row_index", "stamp_ns", *rounded("x", "y", "z"), "intensity")
+
+
+NESTED_FIRINGS = POINTS + """,
+firings AS (SELECT col, min(stamp_ns) AS stamp_ns, row_number() OVER (ORDER BY col) - 1 AS firing_index FROM points WHERE col % 10 <> 3 GROUP BY col)
+SELECT f.col, firing_index, CAST(r AS INTEGER) AS row_index, f.stamp_ns, round(CASE WHEN event_type <> 'error' THEN x END, 6) + 0.0 AS x, round(CASE WHEN event_type <> 'error' THEN y END, 6) + 0.0 AS y,
+       round(CASE WHEN event_type <> 'error' THEN z END, 6) + 0.0 AS z, CAST(floor((intensity / 255) * 255) AS INTEGER) AS intensity
+FROM firings f CROSS JOIN range(16) t(r) LEFT JOIN points p ON p.col = f.col AND p.row_index = r
+"""
+
+
+def view_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours within the angle under which the distance is seen, four columns back at most."""
+    return neighbors.view_pairs(points(spark, sf_dir), 0.7, COLUMNS, 4, APART)
+
+
+VIEW_PAIRS = POINTS + """,
+views AS (SELECT *, asin(least(1.0, 0.7 / dist)) AS view FROM points),
+looks AS (SELECT *, unnest(range(col - least(4, CAST(ceil(view / (2 * pi() / 128)) AS BIGINT)), col + 1)) AS look FROM views)
+SELECT a.pid AS a, b.pid AS b FROM looks a JOIN points b ON a.look = b.col
+WHERE abs(a.row_index - b.row_index) <= 5 AND (b.col < a.col OR b.row_index < a.row_index) AND abs(a.inc - b.inc) <= a.view
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.7 * 0.7
+"""
+
+
+def frame_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that hang on each other, and where a frame's origin lies seen from the frame of the event before."""
+    e = events(spark, sf_dir).select("event_id", F.floor("value").alias("v"))
+    yaw, zero = F.col("v") * 0.01, F.lit(0.0)
+    m = F.array(F.cos(yaw), -F.sin(yaw), zero, F.col("v") * 0.001, F.sin(yaw), F.cos(yaw), zero, F.lit(0.5), zero, zero, F.lit(1.0), F.lit(0.25))
+    frames = e.select(F.lit(0).alias("tree"), F.col("event_id").alias("frame"), F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 3)).alias("parent"), m.alias("m"))
+    asked = frames.where("frame > 0").select("tree", F.col("frame").alias("source"), (F.col("frame") - 1).alias("target"))
+    at = g.translation(F.col("m"))
+    found = motion.between_frames(asked, frames, ["tree"]).withColumns({c: at[c] for c in "xyz"})
+    return found.select("source", "target", *rounded("x", "y", "z"))
+
+
+FRAME_TRANSFORMS = """
+WITH RECURSIVE frames AS (SELECT event_id AS frame, (event_id - 1) // 3 AS parent, floor(value) * 0.01 AS yaw, floor(value) * 0.001 AS tx FROM events WHERE event_id > 0),
+climb(frame, up, yaw, x, y, z) AS (
+  SELECT frame, parent, yaw, tx, CAST(0.5 AS DOUBLE), CAST(0.25 AS DOUBLE) FROM frames
+  UNION ALL
+  SELECT c.frame, f.parent, c.yaw + f.yaw, cos(f.yaw) * c.x - sin(f.yaw) * c.y + f.tx, sin(f.yaw) * c.x + cos(f.yaw) * c.y + 0.5, c.z + 0.25 FROM climb c JOIN frames f ON c.up = f.frame),
+roots AS (SELECT frame, yaw, x, y, z FROM climb WHERE up = 0 UNION ALL SELECT 0, 0, 0, 0, 0)
+SELECT s.frame AS source, t.frame AS target, round(cos(t.yaw) * (s.x - t.x) + sin(t.yaw) * (s.y - t.y), 6) + 0.0 AS x, round(-sin(t.yaw) * (s.x - t.x) + cos(t.yaw) * (s.y - t.y), 6) + 0.0 AS y, round(s.z - t.z, 6) + 0.0 AS z
+FROM roots s JOIN roots t ON t.frame = s.frame - 1
+"""
+
+
+def drive_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of recorded drives, those of the sequences' own and one that is in none, in their sequences."""
+    names = [x[2] for x in kitti.SEQUENCES] + ["2011_09_26_drive_0001_sync"]
+    drive = F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % 12 + 1).cast("int"))
+    rows = events(spark, sf_dir).select("event_id", drive.alias("drive"), (F.col("event_id") * 7 % 6000).alias("frame"))
+    return kitti.in_sequences(rows, kitti.sequences(spark))
+
+
+DRIVE_SEQUENCES = f"""
+WITH parts AS (SELECT * FROM (VALUES {", ".join(f"({s}, '{d}', {a}, {b})" for s, _, d, a, b in kitti.SEQUENCES)}) t(sequence, drive, first, last)),
+rows_ AS (SELECT event_id, {[x[2] for x in kitti.SEQUENCES] + ["2011_09_26_drive_0001_sync"]}[user_id % 12 + 1] AS drive, event_id * 7 % 6000 AS frame FROM events)
+SELECT event_id, r.drive, frame AS drive_frame, sequence, CAST(frame - first AS INTEGER) AS frame FROM rows_ r JOIN parts p ON r.drive = p.drive AND frame BETWEEN first AND last
+"""
+
+
+def pose_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses at the stamps of all events, between those of every fiftieth: places in proportion, turns by slerp."""
+    e = events(spark, sf_dir).select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("stamp_ns"), "value").withColumn("sensor", F.lit(0))
+    series = e.where(F.col("event_id") % 50 == 0).groupBy("sensor", "stamp_ns").agg(F.max("value").alias("v"))
+    series = series.select("sensor", "stamp_ns", F.array(F.col("v"), F.col("v") * 2, F.lit(1.0)).alias("place"), poses.quaternion(F.pmod(F.floor("v"), F.lit(3)) * 1.0).alias("turn"))
+    found = poses.pose_at(e.drop("value"), series, "stamp_ns", "place", "turn", ["sensor"], "event_id", F.floor(F.col("stamp_ns") / (3600 * 10**9)))
+    m = F.col("m")
+    return found.select("event_id", *[(F.round(m[i], 5) + 0.0).alias(n) for i, n in ((0, "cos_yaw"), (4, "sin_yaw"), (3, "x"), (7, "y"), (11, "z"))])
+
+
+POSE_MIXED = """
+WITH e AS (SELECT event_id, epoch_us(ts) * 1000 AS stamp_ns, value FROM events),
+series AS (SELECT stamp_ns, max(value) AS v, floor(max(value)) % 3 AS yaw FROM e WHERE event_id % 50 = 0 GROUP BY stamp_ns),
+b AS (SELECT e.event_id, e.stamp_ns, s.stamp_ns AS s0, s.v AS v0, s.yaw AS y0 FROM e ASOF LEFT JOIN series s ON e.stamp_ns >= s.stamp_ns),
+a AS (SELECT b.*, s.stamp_ns AS s1, s.v AS v1, s.yaw AS y1 FROM b ASOF LEFT JOIN series s ON b.stamp_ns < s.stamp_ns),
+k AS (SELECT event_id, coalesce(v0, v1) AS v0, coalesce(v1, v0) AS v1, coalesce(y0, y1) AS y0, coalesce(y1, y0) AS y1, coalesce(CAST(stamp_ns - s0 AS DOUBLE) / CAST(s1 - s0 AS DOUBLE), 0) AS t FROM a)
+SELECT event_id, round(cos(y0 + (y1 - y0) * t), 5) + 0.0 AS cos_yaw, round(sin(y0 + (y1 - y0) * t), 5) + 0.0 AS sin_yaw, round(v0 + (v1 - v0) * t, 5) + 0.0 AS x, round(2 * (v0 + (v1 - v0) * t), 5) + 0.0 AS y, 1.0 AS z FROM k
+"""
+
+
+def inclination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclinations of empty cells: all cells of the image, gaps between lasers carried along rows, and a chain from the lowest known cell up."""
+    p = points(spark, sf_dir).withColumns({"sensor": F.lit(0), "inc": F.round(F.col("inc") + F.col("col") % 7 / 1000, 6)})
+    full = range_image.densify(p.where(F.col("event_type") != "error").select("sensor", "col", "row_index", "inc"), p.select("sensor", "col").distinct(), ROWS, ["sensor"])
+    below = full.select("sensor", "col", (F.col("row_index") - 1).alias("row_index"), F.col("inc").alias("below"))
+    known = full.join(below, ["sensor", "col", "row_index"], "left").withColumn("known", F.col("inc") - F.col("below"))
+    gaps = range_image.fill_gaps(known, ["sensor", "row_index"], "col", F.col("known"), F.floor(F.col("col") / BLOCK))
+    found = ground.supplement_inclinations(gaps.withColumn("measured", F.col("inc")), ["sensor"])
+    return found.select("col", "row_index", *rounded("measured", "gap", "inc"))
+
+
+INCLINATION_CHAIN = POINTS + """,
+cells AS (SELECT c.col, CAST(r AS INTEGER) AS row_index, CASE WHEN event_type <> 'error' THEN round(inc + c.col % 7 / 1000, 6) END AS measured FROM (SELECT DISTINCT col FROM points) c CROSS JOIN range(16) t(r) LEFT JOIN points p ON p.col = c.col AND p.row_index = r),
+known AS (SELECT *, measured - lead(measured) OVER (PARTITION BY col ORDER BY row_index) AS known FROM cells),
+gaps AS (SELECT col, row_index, measured, last_value(known IGNORE NULLS) OVER (PARTITION BY row_index ORDER BY col ROWS UNBOUNDED PRECEDING) AS gap FROM known),
+climbs AS (SELECT *, sum(coalesce(gap, 0)) OVER (PARTITION BY col ORDER BY row_index DESC ROWS UNBOUNDED PRECEDING) AS climb FROM gaps),
+based AS (SELECT *, last_value(measured - climb IGNORE NULLS) OVER (PARTITION BY col ORDER BY row_index DESC ROWS UNBOUNDED PRECEDING) AS base FROM climbs)
+SELECT col, row_index, round(measured, 6) + 0.0 AS measured, round(gap, 6) + 0.0 AS gap, round(coalesce(measured, base + climb), 6) + 0.0 AS inc FROM based
+"""
+
+
+def cluster_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the last stage; what has no value in this fixture is null."""
+    cells = ground.ignore_flags(labelled_cells(spark, sf_dir), Config.library_defaults().clustering, [], ROWS)
+    found = labelled(spark, sf_dir).select("pid", "cluster_id", F.round(F.col("col") * F.lit(g.TWO_PI / COLUMNS) + F.asin(F.lit(DISTANCE) / F.col("dist")), 6).alias("finish_azimuth"))
+    rows = cells.join(found, "pid").withColumns({"firing_index": F.col("col"), "global_column": F.col("col"), "continuous_azimuth": F.round("az", 6), "az": F.round(F.pmod("az", F.lit(g.TWO_PI)), 5), "inc": F.round("inc", 6), **dict(zip("xyz", (F.round(c, 6) + 0.0 for c in "xyz")))})
+    kept = sinks.stage_output(rows, "cluster")
+    return kept.select(*[c for c in kept.columns if dict(kept.dtypes)[c] != "void"])
+
+
+CLUSTER_COLUMNS = COMPONENTS + """
+SELECT stream_id, p.pid, p.col AS firing_index, row_index, p.stamp_ns, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, intensity, CASE WHEN event_type <> 'error' THEN p.dist END AS dist,
+       round(p.az % (2 * pi()), 5) AS az, round(p.inc, 6) AS inc, p.col, round(p.az, 6) AS continuous_azimuth, p.col AS global_column, CASE WHEN p.pid % 5 = 0 THEN 64 ELSE 119 END AS ground_label,
+       event_type = 'error' OR p.pid % 5 = 0 OR p.dist < 0.7 OR (row_index < 15 AND atan2(0.7, p.dist) < 0.02) OR p.col % 2 <> row_index % 2 AS is_ignored, cluster_id,
+       round(p.col * (2 * pi() / 128) + asin(0.3 / p.dist), 6) AS finish_azimuth FROM labelled p
+"""
+
+
+def row_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).withColumns({"frame": F.floor(F.col("col") / COLUMNS), "cell": F.col("col") % COLUMNS})
+    return evaluate.row_statistics(p, ["stream_id", "frame"], "row_index", "cell", COLUMNS)
+
+
+ROW_STATISTICS = POINTS + "SELECT stream_id, col // 128 AS frame, row_index, count(*) AS n_points, count(DISTINCT col % 128) AS n_columns, max(col % 128) AS max_column FROM points GROUP BY ALL"
+
+
+FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, seam_rotations, firing_stamps, full_cells, frame_images, topic_slice, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, cluster_closing, released_columns, truth_clusters, detections_on_truth, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement, stream_clusters, forced_clusters, nth_column_closing, nested_firings, view_pairs, frame_transforms, drive_sequences, pose_mixed, inclination_chain, cluster_columns, row_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

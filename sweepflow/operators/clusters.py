@@ -53,14 +53,16 @@ def column_azimuths(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "col").agg(F.min("continuous_azimuth").alias("min_azimuth"))
 
 
-def closing_columns(found: DataFrame, columns: DataFrame, keys: list[str], num_columns: int, look: int = 3, block_columns: int = 1024) -> DataFrame:
+def closing_columns(found: DataFrame, columns: DataFrame, keys: list[str], num_columns: int, look: int = 3, block_columns: int = 1024, every: int = 1) -> DataFrame:
     """Adds closing_column, the first column whose smallest azimuth is not below a cluster's finish_azimuth; null while it is open.
 
     A point lies in the column of its azimuth or in the one after it. So that
     column is among the few from the one on in which the angle lies, which an
     equi-join finds, or else, where these are absent or too early, the next one
-    that there is, which a scan in blocks from the far end finds.
+    that there is, which a scan in blocks from the far end finds. With `every`,
+    clusters are closed only in columns that it divides.
     """
+    columns = columns if every == 1 else columns.where(F.col("col") % every == 0)
     at = F.floor(F.col("finish_azimuth") / F.lit(TWO_PI / num_columns)).cast("long")
     asked = found.select(*keys, "cluster_id", "finish_azimuth", F.explode(F.array(*[at + k for k in range(-1, look)])).alias("col"))
     closed = asked.join(columns, [*keys, "col"]).where(F.col("min_azimuth") >= F.col("finish_azimuth")).groupBy(*keys, "cluster_id").agg(F.min("col").alias("closing_column"))

@@ -34,6 +34,13 @@ def detections_on_truth(truth: DataFrame, detections: DataFrame, keys: list[str]
     return joined.withColumns({"found": F.col("best").isNotNull(), "is_ground": F.coalesce("best.is_ground", F.lit(False)), "detection_label": F.coalesce("best.detection_label", F.lit(0))}).drop("best")
 
 
+def row_statistics(points: DataFrame, keys: list[str], row: str, column: str, width: int) -> DataFrame:
+    """n_points, n_columns and max_column of each row of an image; a column beyond the width stops the job."""
+    wide = F.raise_error(F.format_string("column %s in an image of %s", F.max(column).cast("string"), F.lit(str(width))))
+    most = F.when(F.coalesce(F.max(column) < width, F.lit(True)), F.max(column)).otherwise(wide)
+    return points.groupBy(*keys, row).agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct(column).alias("n_columns"), most.alias("max_column"))
+
+
 def metrics(tp: Column, fn: Column, fp: Column, tn: Column) -> dict[str, Column]:
     """Null where a score has no denominator."""
     recall, precision = F.try_divide(tp, tp + fn), F.try_divide(tp, tp + fp)

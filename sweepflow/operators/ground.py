@@ -34,6 +34,11 @@ def is_ego(x: Column, y: Column, z: Column, p: Ground) -> Column:
     return F.coalesce(inside[0] & inside[1] & inside[2], F.lit(False))
 
 
+def ego_marker(p: Ground) -> dict[str, tuple[float, float, float]]:
+    """Centre and size of the robot's box, as a viewer draws it."""
+    return {"center": tuple((low + high) / 2 for low, high in p.ego_box), "size": tuple(high - low for low, high in p.ego_box)}
+
+
 def scan_columns(r: np.ndarray, z: np.ndarray, skip: np.ndarray, p: Ground) -> tuple[np.ndarray, np.ndarray]:
     """Labels and rules of columns by rows, rows from the top; r is the distance from the sensor's axis, NaN where there is no return."""
     n, rows = r.shape

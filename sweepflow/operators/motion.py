@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..jobs.storage import checkpointed
 
 EARTH_RADIUS = 6378137.0
 
@@ -35,6 +36,44 @@ def gps_poses(rows: DataFrame, keys: list[str], order: str, sensor: Column | Non
     return rows.join(first, keys).withColumn("m", m if sensor is None else g.compose(m, sensor)).drop("__scale")
 
 
+def root_transforms(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """root, depth and m, which takes points of a frame to its root, for each named frame.
+
+    Expects frame, parent (null for a root) and m, parent from frame, for each
+    frame once. Pointer doubling: in every round a frame jumps to where its
+    ancestor has got to and composes the two transforms, so paths of n steps take
+    log n rounds. A parent that is no frame is a root of its own, without a row.
+    A circle of frames stops the job.
+    """
+    rows = frames.where("parent IS NOT NULL").select(*keys, "frame", F.col("parent").alias("root"), "m", F.lit(1).cast("long").alias("depth"))
+    top = frames.where("parent IS NULL").select(*keys, "frame", F.col("frame").alias("root"), F.array(*[F.lit(float(i % 5 == 0)) for i in range(12)]).alias("m"), F.lit(0).cast("long").alias("depth"))
+    rows, limit = checkpointed(rows), frames.count()
+    on = rows.select(*keys, F.col("frame").alias("root"), F.col("root").alias("up"), F.col("m").alias("further"), F.col("depth").alias("more"))
+    while rows.join(on.select(*keys, "root"), [*keys, "root"], "left_semi").head(1):
+        joined = rows.join(on, [*keys, "root"], "left")
+        jumped = joined.select(*keys, "frame", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNull(), F.col("m")).otherwise(g.compose(F.col("further"), F.col("m"))).alias("m"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        rows = checkpointed(jumped)
+        if rows.where(F.col("depth") > limit).head(1):
+            raise ValueError("frames refer to each other in a circle")
+        on = rows.select(*keys, F.col("frame").alias("root"), F.col("root").alias("up"), F.col("m").alias("further"), F.col("depth").alias("more"))
+    return rows.unionByName(top.select(*rows.columns))
+
+
+def between_frames(asked: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds m, which takes points of frame `source` to frame `target`, to asked rows; null where the two have no common root.
+
+    Both are named frames of `frames`; a frame that is only a parent is its own root.
+    """
+    known = root_transforms(frames, keys)
+    one = F.array(*[F.lit(float(i % 5 == 0)) for i in range(12)])
+    end = lambda name: known.select(*keys, F.col("frame").alias(name), F.col("root").alias(f"{name}_root"), F.col("m").alias(f"{name}_m"))
+    both = asked.join(end("source"), [*keys, "source"], "left").join(end("target"), [*keys, "target"], "left")
+    root = lambda name: F.coalesce(F.col(f"{name}_root"), F.col(name))
+    whole = both.withColumns({"__s": F.coalesce("source_m", one), "__t": F.coalesce("target_m", one)})
+    whole = whole.withColumn("__t", g.inverse(F.col("__t"))).withColumn("m", F.when(root("source") == root("target"), g.compose(F.col("__t"), F.col("__s"))))
+    return whole.select(*asked.columns, "m")
+
+
 def relative_to_first(poses: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Poses in the frame of their sequence's first one, which is found by an aggregate and joined: one row for each sequence."""
     first = poses.groupBy(*keys).agg(F.min(F.struct(order, "m"))["m"].alias("first"))

@@ -41,6 +41,32 @@ def column_pairs(points: DataFrame, max_distance: float, columns_back: int, rows
     return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.pid").alias("a"), F.col("b.pid").alias("b"))
 
 
+def columns_of_view(distance: Column, max_distance: float, num_columns: int, most: int) -> Column:
+    """How many columns back a point has to look: as many as max_distance covers, seen from its distance."""
+    angle = F.asin(F.least(F.lit(1.0), F.try_divide(F.lit(max_distance), distance)))
+    return F.least(F.lit(most), F.ceil(F.coalesce(angle, F.lit(math.pi / 2)) / F.lit(TWO_PI / num_columns))).cast("int")
+
+
+def view_pairs(points: DataFrame, max_distance: float, num_columns: int, most_back: int, most_rows: int, keys: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b) of points nearer than max_distance, as column_pairs, but each point looks into its own number of columns, and at rows within the same angle.
+
+    A band join whose width differs from row to row: a point is copied for the
+    columns that max_distance covers from its distance, most_back at most, so
+    far points look into few columns. Expects dist and inc too.
+    """
+    keys = keys or []
+    angle = F.asin(F.least(F.lit(1.0), F.try_divide(F.lit(max_distance), F.col("dist"))))
+    looks = F.sequence(F.col("col") - columns_of_view(F.col("dist"), max_distance, num_columns, most_back), F.col("col"))
+    a = points.withColumn("look", F.explode(looks)).withColumn("view", angle).alias("a")
+    b = points.alias("b")
+    on = F.col("a.look") == F.col("b.col")
+    for k in keys:
+        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    on &= (F.abs(F.col("a.row_index") - F.col("b.row_index")) <= most_rows) & ((F.col("b.col") < F.col("a.col")) | (F.col("b.row_index") < F.col("a.row_index")))
+    on &= (F.abs(F.col("a.inc") - F.col("b.inc")) <= F.col("a.view")) & (squared_distance("a", "b") < max_distance * max_distance)
+    return a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.pid").alias("a"), F.col("b.pid").alias("b"))
+
+
 def grid_pairs(points: DataFrame, coordinates: Column, dimensions: int, tolerance: float, keys: list[str], point_id: str, cell_dimensions: int = 3) -> DataFrame:
     """Pairs (a < b) with equal keys and a distance below the tolerance.
 
@@ -62,8 +88,3 @@ def grid_pairs(points: DataFrame, coordinates: Column, dimensions: int, toleranc
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
     squares = F.aggregate(F.zip_with("a.p", "b.p", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
     return a.join(b, on & (squares < tolerance * tolerance)).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
-
-def columns_in_view(max_distance: float, distance: float, num_columns: int, most: int) -> int:
-    """How many columns back a point at a distance has to look."""
-    return min(most, math.ceil(math.asin(min(1.0, max_distance / distance)) / (TWO_PI / num_columns)))

@@ -54,6 +54,29 @@ def rotation_matrix(q: Column) -> Column:
     )
 
 
+def quaternion(yaw: Column) -> Column:
+    """The unit quaternion (w, x, y, z) of a turn about the vertical axis."""
+    return F.array(F.cos(yaw / 2), F.lit(0.0), F.lit(0.0), F.sin(yaw / 2))
+
+
+def pose_at(rows: DataFrame, poses: DataFrame, stamp: str, place: str, turn: str, keys: list[str], order: str, block: Column) -> DataFrame:
+    """Adds m, the pose at each row's stamp: places are mixed in proportion to time, turns (quaternions) by slerp.
+
+    `place` is an array of three numbers and `turn` one of four in `poses`.
+    Where a row has no pose on one side, the other side's counts; m is null
+    without any. Poses with equal stamps must not occur.
+    """
+    joined = as_of(rows, poses, stamp, [place, turn], keys, order, block)
+    before, after = F.col("before"), F.col("after")
+    a, b = F.coalesce(before, after), F.coalesce(after, before)
+    share = F.coalesce(F.try_divide((F.col(stamp) - a["stamp"]).cast("double"), (b["stamp"] - a["stamp"]).cast("double")), F.lit(0.0))
+    mixed = joined.withColumns({"__turn": slerp(a[turn], b[turn], share), "__place": F.zip_with(a[place], b[place], lambda x, y: x + (y - x) * share)})
+    r, t = rotation_matrix(F.col("__turn")), F.col("__place")
+    mixed = mixed.withColumn("__r", r)
+    m = F.array(*[x for i in range(3) for x in (F.col("__r")[3 * i], F.col("__r")[3 * i + 1], F.col("__r")[3 * i + 2], t[i])])
+    return mixed.withColumn("m", F.when(a.isNotNull(), m)).drop("__turn", "__place", "__r", "before", "after")
+
+
 def frame_bounds(frames: DataFrame, keys: list[str], order: str, stamp: str, edge_ns: int = 50_000_000) -> DataFrame:
     """start_ns and end_ns of each frame: the middles between neighbours' stamps, and a fixed time beyond the first and last. One row for each frame."""
     w = W.partitionBy(*keys).orderBy(order)

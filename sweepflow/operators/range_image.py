@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..jobs.storage import checkpointed
 from .scans import running
 
 
@@ -77,41 +79,91 @@ def nearest_in_cell(points: DataFrame, cell: list[str], distance: str, point_id:
     return found.select(*cell, F.col(f"best.{point_id}").alias(point_id), F.col(f"best.{distance}").alias(distance), "n_points")
 
 
-def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, order: str, distance: str, span: int) -> DataFrame:
-    """Points to cells in the order of arrival: a taken cell sends a point to the next column; if that is taken too the nearer of the two holds the first cell.
+def place_block(own: pd.DataFrame, taken_ahead: float, carry: tuple[int, int, float] | None, first: int, last: int) -> tuple[dict[int, tuple[float, int]], tuple[int, int, float] | None]:
+    """Places a row's points of one block of columns; gives its cells and the carry into the column after it.
 
-    The rows of an image do not touch each other, and neither do runs of columns
-    with a column without a point between them, for a point moves by one column
-    at most. So every group holds one run of one row. Runs are found in blocks
-    of `span` columns; a row without a gap is one group. Points without a
-    distance (null or NaN) take no cell. Keys and columns must not be null.
+    `own` has order, pid, column and distance in order. `carry` is (order, pid,
+    distance) of the point that the block before moves into the first column;
+    `taken_ahead` is when the first point that aims at the column after the block
+    arrives. That column is free for a point of this block before then, whatever
+    the block ahead does, and taken from then on.
     """
-    points = points.where(F.col(distance).isNotNull() & ~F.isnan(distance))
-    block, at = F.floor(F.col(column) / span), [*keys, row]
-    columns = running(points.select(*at, column).distinct(), at, [column], F.col(column), "last", "previous", block, own=False)
-    begins = F.coalesce(F.col(column) - F.col("previous") > 1, F.lit(True)).cast("long")
-    runs = running(columns, at, [column], begins, "sum", "run", block)
-    source = points.join(runs.select(*at, column, "run"), [*at, column])
-    schema = f"{', '.join(f'{k} long' for k in keys)}{', ' if keys else ''}{row} int, pid long, cell_column long, {distance} double"
-
-    def place(group, frame):
-        taken: dict[int, tuple[float, int]] = {}
-        frame = frame.sort_values(order)
-        for pid, col, d in zip(frame["pid"], frame[column], frame[distance]):
-            if col not in taken:
-                taken[col] = (d, pid)
-            elif col + 1 not in taken:
-                taken[col + 1] = (d, pid)
-            elif d < taken[col][0]:
-                taken[col] = (d, pid)
-        import pandas as pd
+    taken: dict[int, tuple[float, int]] = {}
+    out = None
+    rows = [(o, p, c, d) for o, p, c, d in zip(own["order"].tolist(), own["pid"].tolist(), own["column"].tolist(), own["distance"].tolist())]
+    if carry:
+        rows = sorted([*rows, (carry[0], carry[1], first, carry[2])])
+    for order, pid, column, distance in rows:
+        if column not in taken:
+            taken[column] = (distance, pid)
+        elif column < last and column + 1 not in taken:
+            taken[column + 1] = (distance, pid)
+        elif column == last and out is None and order < taken_ahead:
+            out = (order, pid, distance)
+        elif distance < taken[column][0]:
+            taken[column] = (distance, pid)
+    return taken, out
 
-        out = pd.DataFrame({"pid": [p for _, p in taken.values()], "cell_column": list(taken), distance: [d for d, _ in taken.values()]})
-        for name, value in zip([*keys, row], group):
-            out[name] = value
-        return out[[*keys, row, "pid", "cell_column", distance]]
 
-    return source.groupBy(*keys, row, "run").applyInPandas(lambda key, frame: place(key, frame), schema)
+def place_in_order(points: DataFrame, keys: list[str], row: str, column: str, order: str, distance: str, span: int) -> DataFrame:
+    """Points to cells in the order of arrival: a taken cell sends a point to the next column; if that is taken too the nearer of the two holds the first cell.
+
+    The rows of an image do not touch each other. A row is cut into blocks of
+    `span` columns, which are placed side by side. All that a block needs of the
+    one before is the point that moves over the border, if there is one (a
+    carry), and of the one ahead when its first column is aimed at first. Blocks
+    whose carry turned out to be another one are placed again, until none is. A
+    carry seldom goes on through a whole block, so that takes few rounds; each
+    holds the blocks with a new carry, and no group more than `span` columns.
+
+    Points without a distance (null or NaN) take no cell. Keys and columns must
+    not be null; `order` has no ties within a row.
+    """
+    at = [*keys, row]
+    seen = points.where(F.col(distance).isNotNull() & ~F.isnan(distance))
+    named = seen.select(*at, F.col("pid"), F.col(order).cast("long").alias("order"), F.col(column).cast("long").alias("column"), F.col(distance).cast("double").alias("distance"))
+    source = checkpointed(named.withColumn("block", F.floor(F.col("column") / span)))
+    ahead = source.where(F.pmod("column", F.lit(span)) == 0).groupBy(*at, "block").agg(F.min("order").alias("taken_ahead")).withColumn("block", F.col("block") - 1)
+    types = {**dict(source.dtypes), "taken_ahead": "long"}
+    place = ", ".join(f"`{c}` {types[c]}" for c in at)
+    carry_schema = f"{place}, block long, carry_order long, carry_pid long, carry_distance double"
+    cell_schema = f"{place}, pid long, cell_column long, `{distance}` double"
+
+    def run(cells: bool):
+        def group(key: tuple, own: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+            block = int(key[-1])
+            came = side[side["carry_order"].notna()]
+            carry = (int(came["carry_order"].iloc[0]), int(came["carry_pid"].iloc[0]), float(came["carry_distance"].iloc[0])) if len(came) else None
+            limit = side["taken_ahead"].dropna()
+            taken, out = place_block(own.sort_values("order"), float(limit.iloc[0]) if len(limit) else math.inf, carry, block * span, block * span + span - 1)
+            where = dict(zip(at, key))
+            if cells:
+                return pd.DataFrame({**where, "pid": [p for _, p in taken.values()], "cell_column": list(taken), distance: [d for d, _ in taken.values()]})[[*at, "pid", "cell_column", distance]]
+            rows = [out] if out else []
+            return pd.DataFrame({**where, "block": block + 1, "carry_order": [o for o, _, _ in rows], "carry_pid": [p for _, p, _ in rows], "carry_distance": [d for _, _, d in rows]})
+
+        return group
+
+    def placed(rows: DataFrame, carries: DataFrame, cells: bool) -> DataFrame:
+        side = carries.withColumn("taken_ahead", F.lit(None).cast("long")).unionByName(ahead.select(*at, "block", *[F.lit(None).cast(t).alias(c) for c, t in (("carry_order", "long"), ("carry_pid", "long"), ("carry_distance", "double"))], "taken_ahead"))
+        if not cells:
+            side = side.join(rows.select(*at, "block").distinct(), [*at, "block"], "left_semi")
+        pair = rows.groupBy(*at, "block").cogroup(side.groupBy(*at, "block"))
+        return pair.applyInPandas(run(cells), cell_schema if cells else carry_schema)
+
+    none = source.sparkSession.createDataFrame([], carry_schema)
+    carries = checkpointed(placed(source, none, False))
+    before, new = none, carries
+    while new.head(1):
+        # Blocks that get another carry than the one they were placed with; what they carry on may change, or end.
+        again = checkpointed(source.join(new.select(*at, "block").unionByName(before.select(*at, "block")).distinct(), [*at, "block"], "left_semi"))
+        redone = placed(again, carries, False)
+        kept = carries.join(again.select(*at, (F.col("block") + 1).alias("block")).distinct(), [*at, "block"], "left_anti")
+        after = checkpointed(kept.unionByName(redone))
+        before, new, carries = carries.subtract(after), after.subtract(carries), after
+        if not new.head(1) and before.head(1):
+            new = before
+    return placed(source, carries, True)
 
 
 def organize_frame(points: DataFrame, frame: list[str], laser: str, column: str, order: str, width: int, shift: bool = True) -> DataFrame:

@@ -24,6 +24,13 @@ CLUSTER = [("cluster_label", "<u2")]
 VEHICLE_FROM_CAMERA = [0.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0]
 #: Places of the fields in a row of GPS and IMU values.
 OXTS = {"lat": 0, "lon": 1, "alt": 2, "roll": 3, "pitch": 4, "yaw": 5, "forward": 8, "left": 9, "up": 10}
+#: The drive and the frames, first and last, of which each sequence is a part.
+SEQUENCES = [
+    (0, "2011_10_03", "2011_10_03_drive_0027_sync", 0, 4540), (1, "2011_10_03", "2011_10_03_drive_0042_sync", 0, 1100), (2, "2011_10_03", "2011_10_03_drive_0034_sync", 0, 4660),
+    (3, "2011_09_26", "2011_09_26_drive_0067_sync", 0, 800), (4, "2011_09_30", "2011_09_30_drive_0016_sync", 0, 270), (5, "2011_09_30", "2011_09_30_drive_0018_sync", 0, 2760),
+    (6, "2011_09_30", "2011_09_30_drive_0020_sync", 0, 1100), (7, "2011_09_30", "2011_09_30_drive_0027_sync", 0, 1100), (8, "2011_09_30", "2011_09_30_drive_0028_sync", 1100, 5170),
+    (9, "2011_09_30", "2011_09_30_drive_0033_sync", 0, 1590), (10, "2011_09_30", "2011_09_30_drive_0034_sync", 0, 1200),
+]
 
 
 def _numbers(path: Column) -> tuple[Column, Column]:
@@ -132,9 +139,27 @@ def oxts(spark: SparkSession, root: str, drive: str = "*") -> DataFrame:
     return numbered.select("drive", "frame", *[F.col("v")[i].alias(n) for n, i in OXTS.items()])
 
 
+def sequences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEQUENCES, "sequence int, day string, drive string, first int, last int")
+
+
+def in_sequences(rows: DataFrame, parts: DataFrame, drive: str = "drive", frame: str = "frame", bucket: int = 500) -> DataFrame:
+    """Rows of recorded drives with the sequence they belong to and the frame within it; rows outside all sequences go.
+
+    An interval join: a part is copied for each bucket of frames that it covers,
+    and rows meet the parts of their own bucket, so that the join is on equal
+    keys. A row comes once for each part that it lies in.
+    """
+    covered = parts.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor(F.col("last") / bucket)))).select(F.col("drive").alias("__drive"), "__bucket", "sequence", "first", "last")
+    kept = [c for c in rows.columns if c != frame]
+    placed = rows.withColumn("__at", F.floor(F.col(frame) / bucket))
+    met = placed.join(covered, (F.col(drive) == F.col("__drive")) & (F.col("__at") == F.col("__bucket")) & F.col(frame).between(F.col("first"), F.col("last")))
+    return met.select(*kept, F.col(frame).alias("drive_frame"), "sequence", (F.col(frame) - F.col("first")).cast("int").alias("frame"))
+
+
 def raw_stamps(spark: SparkSession, path: str) -> DataFrame:
     """frame and stamp_ns of lines with a date, a time and nine digits of a second, taken as UTC."""
-    read = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("frame", "value"))
+    read = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("frame", "value")).where("trim(value) <> ''")
     seconds = F.unix_timestamp(F.to_utc_timestamp(F.to_timestamp(F.substring("value", 1, 19), "yyyy-MM-dd HH:mm:ss"), F.current_timezone()))
     return read.select("frame", (seconds * 1_000_000_000 + F.substring("value", 21, 9).cast("long")).alias("stamp_ns"))
 

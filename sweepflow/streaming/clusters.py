@@ -57,7 +57,8 @@ class ClusterStream:
 
     `advance` takes a micro-batch and is what foreachBatch calls; with `last` it
     completes all columns. `columns_back` and `rows_apart` bound the search for
-    neighbours, `force` closes clusters that are as long as a rotation.
+    neighbours; `force` closes clusters that are as long as `most_columns`, a
+    rotation where it isn't given.
     """
 
     spark: SparkSession
@@ -67,8 +68,13 @@ class ClusterStream:
     columns_back: int
     rows_apart: int
     force: bool = True
+    most_columns: int | None = None
     keep_states: int = 2
 
+    @property
+    def _most(self) -> int:
+        return self.most_columns or self.num_columns
+
     # Folders
 
     def _folder(self, path: str):
@@ -147,7 +153,7 @@ class ClusterStream:
         )
         sums = work(sums, "sums")
         columns = work(column_azimuths(named, ["stream_id"]), "columns")
-        found = closing_columns(sums, columns, ["stream_id"], self.num_columns)
+        found = closing_columns(sums, columns, ["stream_id"], self.num_columns, every=self.clustering.every_nth_column)
         found = found.withColumns({"forced": F.col("forced_column").isNotNull(), "closing_column": F.least("closing_column", "forced_column")}).drop("forced_column")
         found = work(self._number(found, sensors), "closed")
         closed = found.where("closing_column IS NOT NULL")
@@ -218,13 +224,13 @@ class ClusterStream:
         plain = nodes.select("stream_id", "node", "to", F.lit(None).cast("long").alias("forced_column"))
         if not self.force:
             return plain
-        long = nodes.groupBy("stream_id", "to").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("high") - F.col("low") + 1 >= self.num_columns).select("stream_id", "to")
+        long = nodes.groupBy("stream_id", "to").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("high") - F.col("low") + 1 >= self._most).select("stream_id", "to")
         long = work(long, "long")
         if not long.head(1):
             return plain
         inside = work(nodes.join(long, ["stream_id", "to"]), "inside")
         ends = work(links.join(inside.select("stream_id", F.col("node").alias("a"), "to"), ["stream_id", "a"]), "ends")
-        split = inside.groupBy("stream_id", "to").cogroup(ends.groupBy("stream_id", "to")).applyInPandas(follow(self.num_columns), "stream_id long, node long, to long, forced_column long")
+        split = inside.groupBy("stream_id", "to").cogroup(ends.groupBy("stream_id", "to")).applyInPandas(follow(self._most), "stream_id long, node long, to long, forced_column long")
         return work(plain.join(long, ["stream_id", "to"], "left_anti").unionByName(split), "split")
 
     def _number(self, found: DataFrame, sensors: DataFrame) -> DataFrame:
