@@ -58,7 +58,7 @@ def test_broken_file_stops(spark, root):
 def test_stream_equals_batch(spark):
     rows = [(s, f * 16 + r, f, r, (f * 3 + 5 - r % 3) % 40) for s in range(2) for f in range(60) for r in range(4)]
     frame = pd.DataFrame(rows, columns=["stream_id", "pid", "firing_index", "row_index", "column_in_rotation"])
-    want = pd.concat([firings.step(-1, g, 40)[1] for _, g in frame.groupby("stream_id")])
+    want = pd.concat([firings.step(firings.Sensor(), g, 40)[1] for _, g in frame.groupby("stream_id")])
     path, out = tempfile.mkdtemp(prefix="in-"), f"s{id(frame)}"
     schema = "stream_id long, pid long, firing_index long, row_index int, column_in_rotation long"
     for i in range(3):
