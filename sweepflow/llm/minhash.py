@@ -11,7 +11,8 @@ sets, with the bucket's hub, its best connected class: what the comparison leave
 a member is its difference from the hub. Two members of which one has no link
 to the hub can only be linked if their differences overlap by an amount that
 follows from the sizes, so those pairs come from a prefix join on the elements
-of the differences, with the same exact test at the end. Elements whose members
+of the differences, those that the fewest members have first, with the same
+exact test at the end. Elements whose members
 are all in one component by then are left out: they can join nothing. So a
 group of n near copies costs about n comparisons for each of its buckets, and a
 bucket has no limit on its size.
@@ -248,24 +249,45 @@ def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return both.mapInArrow(run, schema).withColumn("weight", weight).withColumn("linked", F.col("weight") <= (100 - percent) * F.col("hub_size"))
 
 
-def remaining_links(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of the same hub that lie in different components; at least one has no link to the hub."""
+def by_rarity(compared: DataFrame) -> DataFrame:
+    """Adds `difference`, added and removed elements, those first that the fewest members of the hub have in theirs."""
+    exploded = compared.select("cls", "hub", F.explode(F.concat("added", "removed")).alias("element")).withColumn("key", F.struct("hub", "element"))
+    counts = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("__n", F.col("n"))
+    ranked = join_heavy(exploded.select("cls", "key"), counts, "key", how="left").select("cls", "key.hub", F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "key.element").alias("x"))
+    ordered = ranked.groupBy("cls", "hub").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["element"]).alias("difference"))
+    return compared.drop("added", "removed").join(ordered, ["cls", "hub"])
+
+
+def probe_and_index(compared: DataFrame, components: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of hubs that have strays, and the elements by which strays look for others and by which members are found."""
     hundred, spare = 100 + percent, 100 - percent
     strays = compared.where(~F.col("linked")).select("hub").distinct()
     known = components.select(F.col("node").alias("cls"), "component")
     rows = compared.join(strays, "hub", "left_semi").join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    # Added elements come first in the order: those of a hub's own are common to most of its members.
-    rows = written(rows.select("cls", "hub", "hub_size", "weight", "linked", "component", F.concat("added", "removed").alias("difference")), "differences")
+    rows = written(by_rarity(rows), "differences")
     size = F.size("difference")
     elements = rows.select("cls", "hub", "hub_size", "weight", "linked", "component", size.alias("size"), F.posexplode("difference").alias("at", "element"))
-    least_any = F.floor(F.col("weight") / hundred) + 1
-    least_stray = F.floor((F.col("weight") - spare * F.col("hub_size") - 1) / hundred) + 1
+    # What two differences share weighs at least `percent` an element in the other one too, so 100 times it is at least this weight less spare * hub_size.
+    least = F.ceil((F.col("weight") - spare * F.col("hub_size")) / 100)
+    least_any = F.greatest(F.floor(F.col("weight") / hundred) + 1, least)
+    least_stray = F.greatest(F.floor((F.col("weight") - spare * F.col("hub_size") - 1) / hundred) + 1, least)
     index = elements.where(F.col("at") <= F.col("size") - least_any)
     probe = elements.where(~F.col("linked") & (F.col("at") <= F.col("size") - least_stray))
-    # Elements of one component alone can join nothing.
-    mixed = probe.select("hub", "element", "component").unionByName(index.select("hub", "element", "component")).groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub", "element")
-    p = probe.join(mixed, ["hub", "element"], "left_semi").alias("p")
-    q = index.join(mixed, ["hub", "element"], "left_semi").alias("q")
+    # Elements of one component alone can join nothing, and neither can a row that fits not even the best one on the other side of its element.
+    rest = F.col("size") - F.col("at")
+    sides = [df.select("hub", "element", "component", *[v.alias(f"{n}_{m}") if n == own else F.lit(None).cast("long").alias(f"{n}_{m}") for n in "pq" for m, v in (("weight", F.col("weight")), ("rest", rest.cast("long")))]) for own, df in (("p", probe), ("q", index))]
+    best = [F.min("component").alias("x"), F.max("component").alias("y"), *[f(f"{n}_{m}").alias(f"{n}_{m}") for n in "pq" for m, f in (("weight", F.min), ("rest", F.max))]]
+    mixed = sides[0].unionByName(sides[1]).groupBy("hub", "element").agg(*best).where("x <> y")
+    fits = lambda n: hundred * F.least(rest, F.col(f"{n}_rest")) >= F.col("weight") + F.col(f"{n}_weight") - spare * F.col("hub_size")
+    met = lambda df, n: df.join(mixed, ["hub", "element"]).where(fits(n)).select(*df.columns)
+    return rows, met(probe, "q"), met(index, "p")
+
+
+def remaining_links(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of the same hub that lie in different components; at least one has no link to the hub."""
+    hundred, spare = 100 + percent, 100 - percent
+    rows, probe, index = probe_and_index(compared, components, percent)
+    p, q = probe.alias("p"), index.alias("q")
     c = lambda name: F.col(name)
     most = F.least(c("p.size") - c("p.at"), c("q.size") - c("q.at"))
     needed = c("p.weight") + c("q.weight") - spare * c("p.hub_size")

@@ -210,6 +210,29 @@ def test_components_equal_brute_force(spark, near):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_pages_of_one_template_below_the_threshold(spark):
+    """Texts that differ from a hub by as much as from each other: what is joined grows with their number, not with its square."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base, rows = [word() for _ in range(200)], []
+    for i in range(600):
+        text = list(base)
+        for k in r.sample(range(200), 8):
+            text[k] = word()
+        rows.append((i, " ".join(text + [word() for _ in range(r.randrange(21))])))
+    docs, near = spark.createDataFrame(rows, "doc_id long, text string"), minhash.Near()
+    signed = minhash.written(minhash.sign(docs, near, "doc_id", "text"), "signed")
+    pairs = minhash.written(minhash.hub_pairs(signed), "pairs")
+    wanted = pairs.select("cls").unionByName(pairs.select(F.col("hub").alias("cls"))).distinct()
+    compared = minhash.written(minhash.compare_with_hubs(pairs, minhash.sets_of(docs, wanted, near, "text"), near.percent), "compared")
+    assert compared.where("linked").count() == 0 and compared.count() > 1000
+    none = spark.createDataFrame([], "node binary, component binary")
+    _, probe, index = minhash.probe_and_index(compared, none, near.percent)
+    sizes = [t.groupBy("hub", "element").agg(F.count(F.lit(1)).alias(n)) for t, n in ((probe, "x"), (index, "y"))]
+    joined = sizes[0].join(sizes[1], ["hub", "element"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("n")).first()["n"]
+    assert joined < 20 * len(rows)
+
+
 # 3
 
 
