@@ -38,6 +38,7 @@ class Training:
 
     docs_per_language: int = 300
     docs: int = 60_000
+    most_languages: int = 1000
     windows_per_doc: int = 6
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
@@ -170,13 +171,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, training: Training = Training(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows and labels of the bounded sample.
+    """Languages, windows and labels of the bounded sample. More labels than training.most_languages are an error.
 
     Counts of the labels tell which share of the hash range holds about twice
     the rows wanted; only rows below it are ranked.
     """
     labelled = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = labelled.groupBy("lang").count().collect()  # a row for each label, as the network has an output for each
+    counts = labelled.groupBy("lang").count().limit(training.most_languages + 1).collect()  # a row for each label, as the network has an output for each
+    if len(counts) > training.most_languages:
+        raise ValueError(f"more than {training.most_languages} different labels: not languages, or too many for one network")
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((0, training.window), np.uint8), np.zeros(0, np.int64)

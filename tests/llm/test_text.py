@@ -564,6 +564,42 @@ def test_languages_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in found) >= 0.9 * len(found)
 
 
+def test_labels_have_a_bound(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "'some text' AS text", "CAST(id AS STRING) AS lang")
+    with pytest.raises(ValueError, match="different labels"):
+        langid.train(docs, langid.Training(most_languages=20))
+
+
+def plain_shares(network, window):
+    """Filters at every place, the largest response of each, a linear map and softmax, one number after the other."""
+    features = []
+    for w in network.training.widths:
+        for k in range(network.training.filters):
+            best = max(sum(float(network.conv[w][j][window[at + j]][k]) for j in range(w)) for at in range(len(window) - w + 1))
+            features.append(max(0.0, best + float(network.bias[w][k])))
+    logits = [sum(x * float(network.out[i][c]) for i, x in enumerate(features)) + float(network.out_bias[c]) for c in range(len(network.languages))]
+    e = [math.exp(x - max(logits)) for x in logits]
+    return [x / sum(e) for x in e]
+
+
+def test_convolution_equals_plain_loops():
+    import numpy as np
+
+    network, r = langid.Network(["a", "b", "c"], langid.Training(window=12, filters=3)), np.random.default_rng(4)
+    for p in (*network.conv.values(), *network.bias.values(), network.out, network.out_bias):
+        p += r.normal(0, 0.5, p.shape).astype(np.float32)
+    network.tables()
+    text = "ab éxyz! 日本語 und so fort"
+    windows = langid.cut_windows(text.encode(), 12)
+    want = [plain_shares(network, w.tolist()) for w in windows]
+    assert np.allclose(network.probabilities(windows), want, atol=1e-5)
+    # A text's shares are those of its windows, by how many of its bytes each holds.
+    size = [12] * (len(windows) - 1) + [len(text.encode()) - 12 * (len(windows) - 1)]
+    mean = np.average(want, axis=0, weights=size)
+    lang, score = network.predict([text])
+    assert lang == ["abc"[int(mean.argmax())]] and score[0] == pytest.approx(mean.max(), abs=1e-5)
+
+
 def test_no_letter_no_language(spark):
     got = langid.identify(odd(spark), langid.train(documents(spark))).select("doc_id", "lang_pred", "score").collect()
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {1, 2, 3, 11} and all(0 <= r.score <= 1 for r in got)
