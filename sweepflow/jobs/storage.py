@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of the tables written within each open scratch().
-_open: list[list[str]] = []
+#: Folders of the tables written within each open scratch() of a thread.
+_open = threading.local()
+
+
+def _stack() -> list[list[str]]:
+    if not hasattr(_open, "stack"):
+        _open.stack = []
+    return _open.stack
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,8 +44,8 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append(path)
+    if _stack() and not keep:
+        _stack()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,10 +53,10 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables that are written inside are deleted at the end, but for those written by the function that it hands out."""
-    _open.append([])
+    _stack().append([])
     try:
         yield functools.partial(written, keep=True)
     finally:
-        for path in _open.pop():
+        for path in _stack().pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
