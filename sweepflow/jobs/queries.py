@@ -761,7 +761,28 @@ def row_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROW_STATISTICS = POINTS + "SELECT stream_id, col // 128 AS frame, row_index, count(*) AS n_points, count(DISTINCT col % 128) AS n_columns, max(col % 128) AS max_column FROM points GROUP BY ALL"
 
 
-FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, seam_rotations, firing_stamps, full_cells, frame_images, topic_slice, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, cluster_closing, released_columns, truth_clusters, detections_on_truth, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement, stream_clusters, forced_clusters, nth_column_closing, nested_firings, view_pairs, frame_transforms, drive_sequences, pose_mixed, inclination_chain, cluster_columns, row_statistics]
+def published_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of clusters large enough to be published."""
+    return clusters.published(labelled(spark, sf_dir), CLUSTERING).select("pid", "cluster_id")
+
+
+PUBLISHED_POINTS = COMPONENTS + "SELECT pid, cluster_id FROM labelled QUALIFY count(*) OVER (PARTITION BY cluster_id) > 20"
+
+
+def rotation_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of an image a hundred wide, and azimuths that go on from rotation to rotation, of a sensor that turns either way."""
+    p = points(spark, sf_dir).select("pid", F.floor(F.col("col") / COLUMNS).alias("rotation"), F.pmod(F.col("az") + 0.01, F.lit(g.TWO_PI)).alias("turn"))
+    turned = p.withColumns({"down": g.increasing_azimuth(F.lit(g.TWO_PI / 2) - F.col("turn")), "up": g.increasing_azimuth(F.lit(g.TWO_PI / 2) - F.col("turn"), clockwise=False)})
+    return turned.select("pid", g.column_in_rotation(F.col("down"), 100).alias("column"), g.column_in_rotation(F.col("up"), 100).alias("column_up"), F.round(g.continuous_azimuth(F.col("rotation"), F.col("down")), 6).alias("continuous_azimuth"))
+
+
+ROTATION_COLUMNS = POINTS + """,
+turned AS (SELECT pid, col // 128 AS rotation, (az + 0.01) % (2 * pi()) AS turn FROM points)
+SELECT pid, CAST(floor(turn / (2 * pi() / 100)) AS BIGINT) AS column, CAST(floor((2 * pi() - turn) / (2 * pi() / 100)) AS BIGINT) AS column_up, round(rotation * 2 * pi() + turn, 6) AS continuous_azimuth FROM turned
+"""
+
+
+FUNCTIONS = [points_cartesian, vector_algebra, pack_ids, column_minmax, late_points, wrap_sessions, seam_rotations, firing_stamps, full_cells, frame_images, topic_slice, time_jump_sessions, nearest_cell, laser_recovery, laser_gap_fill, pose_asof, frame_bounds, column_firings, motion_undone, ego_fog_filter, ignore_flags, neighbor_pairs, clusters_exact, cluster_stats, cluster_closing, released_columns, truth_clusters, detections_on_truth, ground_confusion, ose_frame, use_frame, metrics_rollup, label_confusion, conditional_clusters, stage_projection, ground_scan, cell_placement, stream_clusters, forced_clusters, nth_column_closing, nested_firings, view_pairs, frame_transforms, drive_sequences, pose_mixed, inclination_chain, cluster_columns, row_statistics, published_points, rotation_columns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,11 +59,6 @@ def firing_bounds(points: DataFrame, keys: list[str], firing: str, column: str)
     return points.groupBy(*keys, firing).agg(F.min(column).alias("rearmost"), F.max(column).alias("foremost"))
 
 
-def bad_starts(bounds: DataFrame, num_columns: int) -> DataFrame:
-    """Firings that span more than half a turn."""
-    return bounds.where(F.col("foremost") - F.col("rearmost") > num_columns / 2)
-
-
 def late_points(points: DataFrame, keys: list[str], firing: str, column: str, block: Column) -> DataFrame:
     """Adds `first_unfinished`, the largest rearmost column of all earlier firings, and `late`."""
     bounds = firing_bounds(points, keys, firing, column)

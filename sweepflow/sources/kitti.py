@@ -166,9 +166,3 @@ def raw_stamps(spark: SparkSession, path: str) -> DataFrame:
 
 def semantic_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(labels.SEMANTIC.items()), "semantic_label int, name string")
-
-
-def write_labels(rows: DataFrame, path: str, label: str = "cluster_label") -> None:
-    """Labels of each point as one array a frame, in the order of the points; the reader's counterpart in Parquet."""
-    frames = rows.groupBy("sequence", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_idx", label))), lambda p: p[label]).alias("labels"))
-    frames.write.partitionBy("sequence").parquet(path)

@@ -185,3 +185,11 @@ def test_raw_stamps(spark):
     path = tempfile.mkdtemp(prefix="stamps-")
     open(f"{path}/timestamps.txt", "w").write("2011-09-26 13:02:25.964389445\n2011-09-26 13:02:26.000000001\n")
     assert [(r.frame, r.stamp_ns) for r in kitti.raw_stamps(spark, f"{path}/timestamps.txt").orderBy("frame").collect()] == [(0, 1317042145964389445), (1, 1317042146000000001)]
+
+
+def test_sequences_and_names(spark):
+    names = {r.semantic_label: r.name for r in kitti.semantic_names(spark).collect()}
+    assert len(names) == 34 and names[40] == "road" and names[259] == "moving-other-vehicle"
+    rows = spark.createDataFrame([("2011_09_30_drive_0028_sync", f) for f in (1099, 1100, 5170, 5171)] + [("none", 5)], "drive string, frame int")
+    got = kitti.in_sequences(rows, kitti.sequences(spark), bucket=7)
+    assert sorted((r.drive_frame, r.sequence, r.frame) for r in got.collect()) == [(1100, 8, 0), (5170, 8, 4070)]
