@@ -3,7 +3,9 @@
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; run()
 stores what a stage returns as Parquet in the shared folder, deletes what the
 stage wrote on the way, and hands the next one what it reads back. All but the
-last return the columns of `documents`.
+last return the columns of `documents`, and any further ones that the table has,
+whatever their names. Texts of any length are taken whole. An empty table goes
+through as an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ SURE = 0.9
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or without a letter go, for they have no language.
 
-    The others get the language found where they have no label, or where the network's score is at least SURE.
+    The others get the language found where they have no label, or where the network's score is at least SURE. Repeated
+    rows and null ids are rows like any other.
     """
     found = langid.identify(docs, langid.train(docs))
     found = found.where(F.col("lang_pred") != langid.UNKNOWN)
@@ -34,23 +37,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked at a similarity of 0.8 over shingles of five words, the smallest id stays."""
+    """Of documents that are linked at a similarity of 0.8 over shingles of five words, the smallest id stays.
+
+    Texts without a word are linked with nothing and stay, as do null texts. Of rows with the same id and text one stays;
+    rows of one id whose texts aren't linked all stay where that id does. A null id is never the smallest.
+    """
     return minhash.deduplicate(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced within the texts; every document stays, and n_chars follows its text."""
+    """Secrets are replaced within the texts; every document stays, repeated ones too, and n_chars follows its text.
+
+    A null text stays null, as does its n_chars; ids play no part.
+    """
     masked = secrets.mask_secrets(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them, up to three times."""
+    """Documents come as often as the mix takes them, up to three times.
+
+    Texts without a word, null ones too, have size 0, so the mix never takes them. Rows with the same id and text come as
+    often as they do together; ties in the shuffled order go by id, then size. Null sources and ids are values.
+    """
     return mixing.repeat_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with digests of the ids and of the text they decode to."""
+    """Ids of each document, with digests of the ids and of the text they decode to: a row for each row, repeated ones too.
+
+    A null text has no ids and decodes to the empty text.
+    """
     return bpe.encode(docs, bpe.prepare(docs), keep=["doc_id", "lang", "source"], with_ids=True)
 
 

@@ -11,7 +11,10 @@ speed alone, never on a result.
 
 Decoding turns the ids back into bytes and reads them as UTF-8. Null text
 counts as empty and has no ids. Special tokens in a text become their own ids.
-Every row is encoded by itself, as a whole.
+Every row is encoded by itself, as a whole, whatever its length, so repeated rows
+have equal results and ids play no part; null ids stay null. Words of equal
+counts enter the lexicon together or not at all. Empty tables give empty results
+and an empty lexicon. Carried columns whose names clash with a result's give way.
 """
 
 from __future__ import annotations

@@ -7,12 +7,16 @@ weighted by their bytes. The network is trained in numpy on windows of a
 bounded sample: Training.docs_per_language labelled documents of each language,
 or as many fewer as keep the sample within Training.docs, those with the
 smallest hash of the id, with up to Training.windows_per_doc windows spread over
-the whole of each. Every label is learned, however rare.
+the whole of each. Every label is learned, however rare; more than
+Training.most_languages of them are an error.
 
 Language, source and id are never inputs of a prediction. Null texts and texts
 without a letter are `und` with score 0, and so is every text if nothing was
 there to learn from; empty texts have no letter. Null labels are not learned
-from. Rows are predicted one by one, so ties and repeated rows need no rule.
+from. Rows are predicted one by one, so ties and repeated rows need no rule; of
+equally likely languages the first in order counts. Texts of any length are read
+whole. An empty table has nothing to learn from. Carried columns whose names
+clash with lang_pred or score give way.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from sweepflow.llm import mixing, secrets
 
-from .test_text import SF, documents, odd, plain_components
+from .test_text import SF, clashing, documents, odd, plain_components
 
 
 def test_stages(spark):
@@ -32,6 +32,24 @@ def test_stages(spark):
     assert len(last) == fourth.count() and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
 
 
+def test_what_stages_make_of_odd_rows(spark):
+    """Null, empty and very long texts, repeated rows and ids, and further columns with clashing names."""
+    docs, stages = clashing(odd(spark)), dict(corpus_pipeline.STAGES)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    letters = sorted(str(x) for x in texts if any(c.isalpha() for c in x[1] or ""))
+    rows = lambda df: sorted(str((r.doc_id, r.text)) for r in df.collect())
+    assert rows(stages["language_id"](spark, docs, SF)) == letters
+    kept = {c for _, _, c in plain_components(texts, 5, 80)}
+    assert rows(stages["near_dedup"](spark, docs, SF)) == sorted({str(x) for x in texts if x[0] in kept})
+    masked = stages["secret_scan"](spark, docs, SF).collect()
+    assert len(masked) == len(texts) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in masked)
+    assert sorted(r.doc_id for r in masked if r.text is None) == [1] and "AKIA" not in "".join(r.text or "" for r in masked)
+    mixed = stages["mix_sources"](spark, docs, SF)
+    assert {x for x, t in texts if t and t.split()} >= {r.doc_id for r in mixed.collect()} and mixed.columns == docs.columns
+    last = stages["bpe_encode"](spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in last) == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_and_empty_tables(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
