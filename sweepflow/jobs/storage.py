@@ -40,14 +40,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts the lineage in a way that outlives any executor."""
+    found, path = _write(df, label)
     if _stack() and not keep:
         _stack()[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return found
+
+
+class Rounds:
+    """Tables of a loop, each of which is made from the one before and takes its place in the shared folder."""
+
+    def __init__(self, label: str) -> None:
+        self.label, self.path = label, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        found, path = _write(df, self.label)
+        if self.path:
+            _delete(df.sparkSession, self.path)
+            if _stack() and self.path in _stack()[-1]:
+                _stack()[-1].remove(self.path)
+        if _stack():
+            _stack()[-1].append(path)
+        self.path = path
+        return found
 
 
 @contextmanager
@@ -58,5 +86,4 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield functools.partial(written, keep=True)
     finally:
         for path in _stack().pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..jobs.storage import checkpointed
+from ..jobs.storage import Rounds
 from .joins import join_heavy
 
 
@@ -23,23 +23,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     is a partial aggregate, and a hub's own joins are broadcasts of its minimum
     (join_heavy), so a hub is no hot key; the joins hold nothing but pairs of
     keys. The number of rounds grows with the logarithm of the longest path.
-    Each round is stored in the checkpoint folder, which cuts the lineage. Nulls and edges from a node to itself are left out; an empty
-    table gives an empty result.
+    Each step is stored in the checkpoint folder in place of the one before,
+    which cuts the lineage. Nulls and edges from a node to itself are left out;
+    an empty table gives an empty result.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = Rounds("components")
+    pairs = rounds.store(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     marks = _marks(pairs)
     while marks[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("__n")).select("u", F.least("u", "m").alias("m"), "__n")
         # Large star: edges (larger neighbour, smallest known).
         large = join_heavy(both.where("v > u"), least, "u", total=marks[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.where("u <> v").distinct())
+        large = rounds.store(large.where("u <> v").distinct())
         # Small star: smaller neighbours and the node itself to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
         joined = join_heavy(large, least, "u", total=marks[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = checkpointed(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        pairs = rounds.store(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         last, marks = marks, _marks(pairs)
         if marks == last:
             break
