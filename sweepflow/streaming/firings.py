@@ -32,8 +32,8 @@ class Sensor:
     again: bool = False
 
 
-def step(sensor: Sensor, frame: pd.DataFrame, num_columns: int, gap_ns: int | None = None) -> tuple[Sensor, pd.DataFrame]:
-    """Takes the firings of a sensor in their order. Expects firing_index, pid, row_index and column_in_rotation, and stamp_ns where gap_ns is given.
+def step(sensor: Sensor | int, frame: pd.DataFrame, num_columns: int, gap_ns: int | None = None) -> tuple[Sensor, pd.DataFrame]:
+    """Takes the firings of a sensor (or of one of which nothing but its rearmost column is known) in their order. Expects firing_index, pid, row_index and column_in_rotation, and stamp_ns where gap_ns is given.
 
     Every point is placed by the shorter way round from the largest rearmost
     column so far. A firing whose stamp (its points' smallest) is more than
@@ -43,6 +43,7 @@ def step(sensor: Sensor, frame: pd.DataFrame, num_columns: int, gap_ns: int | No
     In a new session columns are counted anew. One pass over the firings finds
     what each is placed from; the points are placed all at once.
     """
+    sensor = Sensor(sensor) if isinstance(sensor, int) else sensor
     half = num_columns / 2
     frame = frame.sort_values(["firing_index", "pid"])
     firing, column = frame["firing_index"].to_numpy(np.int64), frame["column_in_rotation"].to_numpy(np.int64)
