@@ -250,12 +250,17 @@ def compare_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def by_rarity(compared: DataFrame) -> DataFrame:
-    """Adds `difference`, added and removed elements, those first that the fewest members of the hub have in theirs."""
-    exploded = compared.select("cls", "hub", F.explode(F.concat("added", "removed")).alias("element")).withColumn("key", F.struct("hub", "element"))
+    """Adds `difference`, added and removed elements, those first that the fewest members of the hub have in theirs.
+
+    Rows and the hub's elements go by numbers of 64 bits on the way; elements
+    whose hashes agree are counted together, and any order is right.
+    """
+    rows = written(compared.withColumn("row", F.monotonically_increasing_id()), "strays")
+    exploded = rows.select("row", "hub", F.explode(F.concat("added", "removed")).alias("element")).select("row", F.xxhash64("hub", "element").alias("key"), "element")
     counts = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("__n", F.col("n"))
-    ranked = join_heavy(exploded.select("cls", "key"), counts, "key", how="left").select("cls", "key.hub", F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "key.element").alias("x"))
-    ordered = ranked.groupBy("cls", "hub").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["element"]).alias("difference"))
-    return compared.drop("added", "removed").join(ordered, ["cls", "hub"])
+    ranked = join_heavy(exploded, counts, "key", how="left").select("row", F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "element").alias("x"))
+    ordered = ranked.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["element"]).alias("difference"))
+    return rows.drop("added", "removed").join(ordered, "row").drop("row")
 
 
 def probe_and_index(compared: DataFrame, components: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
