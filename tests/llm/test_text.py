@@ -390,6 +390,31 @@ def test_gradients_follow_the_loss():
         assert math.isclose((up - down) / 2e-2, float(np.linalg.norm(g)), rel_tol=0.35, abs_tol=0.02), name
 
 
+def test_training_equals_plain_adam():
+    """Step by step, with clipping, on a network that went through pickle; nothing is left of one step's gradients in the next."""
+    import pickle
+
+    import numpy as np
+
+    network, r = small_network(), np.random.default_rng(4)
+    copied, o = pickle.loads(pickle.dumps(network)), network.options
+    ids, lengths = r.integers(0, 30, 300), np.array([120, 180])
+    x, y, score, _ = network.blocks(ids, lengths)
+    copied.train(x, y, score, turn=1, passes=1)
+    steps = np.array_split(np.random.default_rng(o.seed + 1).permutation(score), -(-len(score) // o.batch))
+    first, second = ({n: np.zeros(p.shape) for n, p in network.weights.items()} for _ in range(2))
+    assert len(steps) > 4
+    for step, b in enumerate(steps, 1):
+        rate = o.rate * min(1.0, step / 20) * (1 - (1 + step / len(steps)) / o.rounds) ** 0.5
+        for n, g in network.gradients(x, y, b).items():
+            first[n], second[n] = 0.9 * first[n] + 0.1 * g, 0.99 * second[n] + 0.01 * g.astype(float) ** 2
+            moved = network.weights[n] - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
+            limit = np.inf if n.endswith("bias") else 0.6 if n in ("first", "inner") else o.bound
+            network.weights[n][...] = np.clip(moved, -limit, limit)
+    assert all(np.allclose(network.weights[n], p, atol=2e-4) and np.shares_memory(p, copied.flat) for n, p in copied.weights.items())
+    assert np.allclose(network.flat, copied.flat, atol=2e-4) and not np.allclose(network.flat, small_network().flat, atol=1e-2)
+
+
 def test_pieces_cover_all_documents_at_one_rate(spark):
     docs = documents(spark).select("doc_id", "text")
     got = lm.training_pieces(docs, lm.Model()).collect()
