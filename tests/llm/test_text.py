@@ -415,6 +415,29 @@ def test_training_equals_plain_adam():
     assert np.allclose(network.flat, copied.flat, atol=2e-4) and not np.allclose(network.flat, small_network().flat, atol=1e-2)
 
 
+def test_groups_of_pieces_begin_from_the_same_weights(spark):
+    """Also those that one worker trains in turn: where each adds one to all weights, so does the mean of a round."""
+    import numpy as np
+
+    class Counting(lm.Network):
+        def train(self, x, y, score, turn, passes):
+            for p in self.weights.values():
+                p += 1
+
+    docs, options, key = documents(spark), lm.Model(task_chars=10_000, rounds=2), "spark.sql.shuffle.partitions"
+    chars = lm.training_pieces(docs, options).agg(F.sum(F.octet_length("words"))).first()[0]
+    assert chars > 20 * options.task_chars
+    n_ids = len(bpe.Merges.read(bpe.default_tokenizer()).token_bytes)
+    network = Counting(options, np.ones(n_ids), np.arange(n_ids) % 2 == 0, 5)
+    start, before = {n: p.copy() for n, p in network.weights.items()}, spark.conf.get(key)
+    try:
+        spark.conf.set(key, 1)
+        lm.train_network(docs, bpe.ship(spark, []), network)
+    finally:
+        spark.conf.set(key, before)
+    assert all(np.allclose(p, start[n] + options.rounds, atol=1e-4) for n, p in network.weights.items())
+
+
 def test_pieces_cover_all_documents_at_one_rate(spark):
     docs = documents(spark).select("doc_id", "text")
     got = lm.training_pieces(docs, lm.Model()).collect()
