@@ -415,6 +415,23 @@ def test_training_equals_plain_adam():
     assert np.allclose(network.flat, copied.flat, atol=2e-4) and not np.allclose(network.flat, small_network().flat, atol=1e-2)
 
 
+def test_training_holds_few_arrays_as_large_as_the_network():
+    """Gradients and two moments; bounds of single weights made it ten before."""
+    import tracemalloc
+
+    import numpy as np
+
+    network = lm.Network(lm.Model(batch=1), np.arange(5000.0), np.arange(5000) % 2 == 0, 5)
+    x, y, score, _ = network.blocks(np.arange(40), np.array([40]))
+    tracemalloc.start()
+    try:
+        network.train(x, y, score, 0, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 3 * network.flat.nbytes < peak < 5 * network.flat.nbytes
+
+
 def test_groups_of_pieces_begin_from_the_same_weights(spark):
     """Also those that one worker trains in turn: where each adds one to all weights, so does the mean of a round."""
     import numpy as np
