@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import geometry as g
-from ..operators import clusters, evaluate, ground, motion, neighbors, poses, range_image, scans, sinks
+from ..operators import clusters, evaluate, ground, motion, neighbors, poses, range_image, scans, sinks, vectors
 from ..sources.derived import COLUMNS, ROWS, events, points
 from ..sources import kitti
 from ..sources.ingest import firing_points
@@ -539,8 +539,8 @@ SELECT doc_id % 10 AS part, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, c
 def conditional_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with the same label and a distance below the tolerance."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    pairs = neighbors.grid_pairs(e, F.transform("embedding", lambda x: x.cast("double")), 64, TOLERANCE, ["label"], "vec_id")
-    return clusters.label_points(e.withColumnRenamed("vec_id", "pid"), pairs, ["pid", "label"]).groupBy("label", "cluster_id").agg(F.count(F.lit(1)).alias("num_points"))
+    links = vectors.near_links(e, F.col("embedding"), TOLERANCE, "label", "vec_id")
+    return clusters.label_points(e.withColumnRenamed("vec_id", "pid"), links, ["pid", "label"]).groupBy("label", "cluster_id").agg(F.count(F.lit(1)).alias("num_points"))
 
 
 CONDITIONAL_CLUSTERS = f"""
